@@ -44,7 +44,7 @@ class Propagation:
     iterations: int = 12
     seed_share: float = 0.5  # a host seeds when so large a share of its pages is judged by a rule
     floor: float = 0.05
-    blocked_labels: tuple[str, ...] = ("casino-win", "free-bets")  # hosts with such a label seed distrust in full
+    blocked_labels: tuple[str, ...] = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")  # hosts with such a label seed distrust in full
     parent_labels: int = 3  # parents with fewer labels tie no hosts together
     broadcast_hosts: int = 200_000  # host verdicts beyond this many rows are joined by shuffle
 

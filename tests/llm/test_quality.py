@@ -37,7 +37,7 @@ def test_divergence_rejects_odd_documents_and_keeps_clean_ones(spark):
     common = "the of and to in is was that for with on by".split()
     prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("abcdefghij", k=6)) for _ in range(120)) + "."
     rows = [(i, prose(), "en") for i in range(200)]
-    rows += [(900, " ".join(f"{w}###" for w in prose().split()), "en"), (901, prose().upper().replace(" ", "!! "), "en"), (902, None, "en"), (903, prose(), None), (904, "", "en"), (905, "x " * 40000, "en"), (0, rows[0][1], "en")]
+    rows += [(900, " ".join(f"{w}###" for w in prose().split()), "en"), (901, prose().upper().replace(" ", "!! "), "en"), (902, None, "en"), (903, prose(), None), (904, "", "en"), (905, "x " * 40000, "zz"), (0, rows[0][1], "en")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit(1))
     got = {}
     for r in Q.judge(df).collect():
