@@ -70,7 +70,7 @@ def test_family_without_its_original_and_large_groups(spark):
 
 def test_chain_reaches_the_smallest_id(spark):
     words = [f"c{i}" for i in range(60)]
-    chain = [" ".join(f"x{j}" if j < i * 2 else w for j, w in enumerate(words)) for i in range(20)]
+    chain = [" ".join(f"x{j}" if j < i else w for j, w in enumerate(words)) for i in range(20)]
     rows = list(enumerate(chain, 5))
     want = brute(rows)
     assert {v[1] for v in want.values()} == {5} and run(spark, rows) == want
