@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "quality", "secrets", "pii", "jaccard", "toxicity")
+MODULES = ("url_filter", "quality", "secrets", "pii", "jaccard", "toxicity", "packing")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -38,7 +38,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs no more than a read."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
