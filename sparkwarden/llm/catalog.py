@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "quality", "secrets", "pii", "jaccard", "toxicity", "packing", "decontaminate")
+MODULES = ("url_filter", "quality", "secrets", "pii", "jaccard", "toxicity", "packing", "decontaminate", "token_counts", "chat")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
