@@ -1,6 +1,441 @@
-"""Queries over the supplied tables, and the SQL that must agree with them."""
+"""Queries over the supplied tables, and the SQL that must agree with them.
+
+Documents become files named ``source/doc_id.ext``.  The rules here use plain
+ASCII classes, so that Java and RE2 read them alike; the full rule set is run by
+``scan_documents`` and ``scan_pages``, which SQL cannot express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import api
+from ..functions import globs, text
+from ..functions.severity import CONFIDENCES, SEVERITIES, at_least
+from ..operators import entropy, filters, match, native, reports, suppress
+from ..sources import files as sources
+from ..sources import rules as rulesets
+from ..sources.config import ScanConfig
+from ..sources.rules import Rule
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+CONFIG = ScanConfig(entropy=False, suppressions=False)
+RULES = [
+    Rule("docs.address", "A network address", "medium", (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",), category="privacy", cwe="CWE-200", confidence="medium", description="An address.", remediation="Remove it.", ignore_case=False),
+    Rule("docs.license", "A licence line", "low", ("[Ll]icen[sc]ed?", "[Rr]ights reserved"), category="licence", confidence="high", ignore_case=False, prefilters=("licen", "rights")),
+    Rule("docs.mail", "A mail address", "info", (r"[0-9A-Za-z.]+@[0-9A-Za-z.]+",), category="privacy", confidence="low", ignore_case=False, references=("https://example.org/mail",)),
+    Rule("docs.token", "A token", "critical", ('token = "[0-9a-f]+"',), category="secrets", cwe="CWE-798", confidence="low", ignore_case=False, tags=("secret",)),
+]
+BY_ID = {r.id: r for r in RULES}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*[F.col(f"`{n}`").cast("long").alias(n) if t in ("int", "smallint") else F.col(f"`{n}`") for n, t in df.dtypes])
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- shared parts ----------------------------------------------------------
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str, ext: Column | str = ".txt") -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return sources.from_table(d, F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(ext) if isinstance(ext, str) else ext), F.col("text"), CONFIG)
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = api.with_native(documents(spark, sf_dir), RULES, CONFIG)
+    return match.with_rule_texts(raw, RULES, CONFIG)
+
+
+FILES = "files as (select concat(source, '/', doc_id, '.txt') as path, text from documents where text is not null)"
+
+
+def _hits(rules: list[Rule]) -> str:
+    parts = []
+    for r in rules:
+        for i, p in enumerate(r.patterns):
+            rx = p.replace("'", "''")
+            parts.append(f"select path, text, '{r.id}' as rule_id, {i} as pattern_idx, regexp_extract_all(text, '{rx}') as m, regexp_split_to_array(text, '{rx}') as g from files where regexp_matches(text, '{rx}')")
+    return (
+        "found as (" + " union all ".join(parts) + "), numbered as (select *, unnest(generate_series(1, len(m))) as k from found), "
+        "hits as (select path, text, rule_id, pattern_idx, m[k] as match, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0))::bigint as start from numbered)"
+    )
+
+
+HITS = f"with {FILES}, {_hits(RULES)}"
+LINE = "(length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) + 1)"
+COLUMN = "length(list_last(string_split(substr(text, 1, start), chr(10))))"
+MASKED = "case when length({0}) <= 8 then repeat('…', 8) else concat(left({0}, 4), '…[redacted, ', length({0}), ' chars]') end"
+SECRET = "case when rule_id = 'docs.token' then regexp_extract(match, '\"([0-9a-f]+)\"', 1) end"
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_about = lambda what: "case rule_id " + " ".join(f"when '{r.id}' then '{getattr(r, what)}'" for r in RULES) + " end"
+RANK = "case severity " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(SEVERITIES)) + f" else {len(SEVERITIES)} end"
+TRUST = "case confidence " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(CONFIDENCES)) + " else 3 end"
+FINDINGS = f"""{HITS},
+placed as (select path, text, rule_id, pattern_idx, start, match, {LINE} as line, {COLUMN} as "column", string_split(text, chr(10)) as lines, {SECRET} as secret from hits),
+short as (select *, case when length(secret) >= 8 then secret when secret is not null then match end as hide from placed),
+flat as (select *, left(case when hide is null then match else replace(match, hide, {MASKED.format("hide")}) end, 240) as own from short),
+counted as (select *, row_number() over (partition by path, rule_id, own order by pattern_idx, start) - 1 as occurrence from flat),
+one as (select *, row_number() over (partition by path, rule_id, line order by length(own) desc, pattern_idx, start) as pick from counted),
+hidden as (select path as p, list(distinct hide) filter (hide is not null) as secrets from counted group by path),
+shown as (select path, rule_id, line, "column", own, occurrence, lines, coalesce(secrets, []) as secrets from one join hidden on p = path where pick = 1),
+masked as (select path, rule_id, line, "column", occurrence, list_reduce(secrets, lambda t, s: replace(t, s, {MASKED.format("s")}), own) as match,
+  list_reduce(secrets, lambda t, s: replace(t, s, {MASKED.format("s")}), {STRIP.format("lines[line]")}) as snippet,
+  list_reduce(secrets, lambda t, s: replace(t, s, {MASKED.format("s")}), array_to_string(list_transform(generate_series(greatest(line - 2, 1), least(line + 2, len(lines) - (case when lines[-1] = '' then 1 else 0 end))), lambda n: concat(lpad(n::varchar, greatest(5, length(n::varchar))::int, ' '), ' | ', lines[n])), chr(10))) as context from shown),
+findings as (select *, substr(sha256(concat_ws('{text.SEPARATOR}', rule_id, path, match, occurrence)), 1, 16) as fingerprint, {_about("title")} as title, {_about("severity")} as severity, {_about("confidence")} as confidence, {_about("category")} as category, {_about("cwe")} as cwe, {_about("description")} as description, {_about("remediation")} as remediation, concat(path, ':', line) as location from masked)"""
+
+# ---- matching --------------------------------------------------------------
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return native.raw_matches(documents(spark, sf_dir), RULES).withColumnRenamed("relpath", "path")
+
+
+@query("rule_hits_per_doc", f"{HITS} select path, rule_id, count(*) as n from hits group by all")
+def _(spark, d):
+    return hits(spark, d).groupBy("path", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query("rule_hit_positions", f'{HITS} select path, rule_id, pattern_idx::bigint as pattern_idx, start, {LINE} as line, {COLUMN} as "column", match from hits')
+def _(spark, d):
+    x = hits(spark, d)
+    return x.select("path", "rule_id", "pattern_idx", "start", text.line_of(F.col("text"), F.col("start")).alias("line"), text.column_of(F.col("text"), F.col("start")).alias("column"), "match")
+
+
+@query("prefilter_gate", f"with {FILES} select path, (contains(lower(text), 'licen') or contains(lower(text), 'rights')) as passes, regexp_matches(text, '[Ll]icen[sc]ed?|[Rr]ights reserved') as matches from files")
+def _(spark, d):
+    return documents(spark, d).withColumn("low", F.lower("text")).select("path", native.gate(BY_ID["docs.license"]).alias("passes"), F.col("text").rlike("[Ll]icen[sc]ed?|[Rr]ights reserved").alias("matches"))
+
+
+def _gated(requires: str = "", not_requires: str = "") -> Rule:
+    return Rule("docs.the", "the", "info", ("Version [0-9]",), requires=requires, not_requires=not_requires, ignore_case=False)
+
+
+@query("requires_gate", f"with {FILES} select path, len(regexp_extract_all(text, 'Version [0-9]')) as n from files where regexp_matches(text, 'Version [0-9]') and regexp_matches(text, 'Apache')")
+def _(spark, d):
+    return native.raw_matches(documents(spark, d), [_gated(requires="Apache")]).groupBy(F.col("relpath").alias("path")).agg(F.count("*").alias("n"))
+
+
+@query("not_requires_gate", f"with {FILES} select path, len(regexp_extract_all(text, 'Version [0-9]')) as n from files where regexp_matches(text, 'Version [0-9]') and not regexp_matches(text, 'Apache')")
+def _(spark, d):
+    return native.raw_matches(documents(spark, d), [_gated(not_requires="Apache")]).groupBy(F.col("relpath").alias("path")).agg(F.count("*").alias("n"))
+
+
+VETO = Rule("docs.address", "An address outside tables", "low", BY_ID["docs.address"].patterns, not_patterns=(r"\|",), ignore_case=False)
+
+
+@query("line_veto", f"{HITS} select path, {LINE} as line, match from hits where rule_id = 'docs.address' and not contains(string_split(text, chr(10))[{LINE}], '|')")
+def _(spark, d):
+    return native.placed(native.raw_matches(documents(spark, d), [VETO]), [VETO]).select(F.col("relpath").alias("path"), "line", "match")
+
+
+EXTS = (".py", ".test.JS", ".php5", ".unknown", "/Dockerfile.web", "/.env.production", ".tf", ".conf.bak", "")
+LANGS = ("python", "javascript", "php", "", "dockerfile", "env", "terraform", "ini", "")
+EXT_SQL = "case doc_id % 9 " + " ".join(f"when {i} then '{e}'" for i, e in enumerate(EXTS)) + " end"
+
+
+def _ext() -> Column:
+    return F.element_at(F.array(*map(F.lit, EXTS)), (F.col("doc_id") % 9 + 1).cast("int"))
+
+
+@query("language_gate", f"select concat(source, '/', doc_id, {EXT_SQL}) as path, case doc_id % 9 {' '.join(f'when {i} then ' + repr(x) for i, x in enumerate(LANGS))} end as language from documents")
+def _(spark, d):
+    return documents(spark, d, _ext()).select("path", "language")
+
+
+@query(
+    "path_glob_gate",
+    f"with p as (select concat(source, '/', doc_id, {EXT_SQL}) as path from documents) select path, (path like 'src1/%' or path like '%/src1/%') as below, (path like '%.py') as python, regexp_matches(path, '^(.*/)?[^/]*Dockerfile.*$') as docker, regexp_matches(path, '^src[12]/.*$') as either from p",
+)
+def _(spark, d):
+    fits = lambda *g: globs.matches_column(F.col("path"), g)
+    return documents(spark, d, _ext()).select("path", fits("**/src1/**").alias("below"), fits("**/*.py").alias("python"), fits("Dockerfile*").alias("docker"), fits("src[12]/**").alias("either"))
+
+
+@query("size_gate", "select concat(source, '/', doc_id, '.txt') as path, strlen(text) as length, case when strlen(text) > 4000 then 'large' else '' end as reason from documents")
+def _(spark, d):
+    t = table(spark, d, "documents")
+    return sources.from_table(t, F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"), ScanConfig(max_file_bytes=4000)).select("path", "length", "reason")
+
+
+@query("binary_gate", "select concat(source, '/', doc_id, '.txt') as path, case when doc_id % 7 = 0 then 'binary' else '' end as reason from documents")
+def _(spark, d):
+    t = table(spark, d, "documents")
+    body = F.when(F.col("doc_id") % 7 == 0, F.concat(F.substring("text", 1, 20), F.lit("\0"), F.col("text"))).otherwise(F.col("text"))
+    return sources.from_table(t, F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), body).select("path", "reason")
+
+
+@query("include_exclude", f"with p as (select concat(source, '/', doc_id, {EXT_SQL}) as path from documents) select case when path like 'src3/%' then 'excluded' when not (path like 'src3%' or path like 'src4%' or path like '%.py') then 'excluded' when path not like '%.%' or path like '%.unknown' then 'unknown' else '' end as reason, count(*) as n from p group by 1")
+def _(spark, d):
+    t = table(spark, d, "documents")
+    config = ScanConfig(exclude=("src3/**",), include=("src3*/**", "src4*/**", "**/*.py"))
+    return filters.walk_stats(sources.from_table(t, F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), _ext()), F.col("text"), config))
+
+
+_ALL = rulesets.load()
+RULES_VALUES = ", ".join(f"('{r.id}', '{r.category}', '{r.severity}', '{r.confidence}', [{', '.join(map(repr, r.languages))}], {len(r.patterns)})" for r in _ALL)
+RULES_CTE = f"with rules(id, category, severity, confidence, languages, n_patterns) as (values {RULES_VALUES})"
+
+
+@query("rule_select_ignore", f"{RULES_CTE} select id, category from rules where (id like 'python.%' or id like '%.sql-%') and not id like '%-hash' and category in ('injection', 'crypto')")
+def _(spark, d):
+    t = rulesets.as_table(spark, _ALL)
+    fits = lambda *g: globs.matches_column(F.col("id"), g, paths=False)
+    return t.where(fits("python.*", "*.sql-*") & ~fits("*-hash") & F.col("category").isin("injection", "crypto")).select("id", "category")
+
+
+@query("rule_catalogue", f"{RULES_CTE} select category, severity, count(*) as n, sum(n_patterns)::bigint as patterns from rules group by all")
+def _(spark, d):
+    return rulesets.as_table(spark, _ALL).groupBy("category", "severity").agg(F.count("*").alias("n"), F.sum(F.size("patterns")).alias("patterns"))
+
+
+@query("rule_languages", f"{RULES_CTE} select language, count(*) as n from (select unnest(languages) as language from rules) group by 1")
+def _(spark, d):
+    return rulesets.as_table(spark, _ALL).select(F.explode("languages").alias("language")).groupBy("language").agg(F.count("*").alias("n"))
+
+
+# ---- findings --------------------------------------------------------------
+
+
+@query("occurrence_index", f"{FINDINGS} select path, rule_id, line, match, occurrence from findings")
+def _(spark, d):
+    return findings(spark, d).select("path", "rule_id", "line", "match", "occurrence")
+
+
+@query("one_per_line", f'{FINDINGS} select rule_id, line, count(*) as n, sum("column")::bigint as columns, sum(length(match))::bigint as chars from findings group by all')
+def _(spark, d):
+    return findings(spark, d).groupBy("rule_id", "line").agg(F.count("*").alias("n"), F.sum("column").alias("columns"), F.sum(F.length("match")).alias("chars"))
+
+
+@query("fingerprint_identity", f"{FINDINGS} select path, rule_id, fingerprint, concat('scan-', substr(fingerprint, 1, 10)) as key, location from findings")
+def _(spark, d):
+    return findings(spark, d).select("path", "rule_id", "fingerprint", "key", "location")
+
+
+@query("cache_id", f"{FINDINGS} select fingerprint, ('0x' || substr(fingerprint, 1, 8))::bigint as id from findings")
+def _(spark, d):
+    return findings(spark, d).select("fingerprint", text.cache_id(F.col("fingerprint")).alias("id"))
+
+
+@query("secret_mask", f"{FINDINGS} select path, line, match, snippet from findings where rule_id = 'docs.token'")
+def _(spark, d):
+    return findings(spark, d).where("rule_id = 'docs.token'").select("path", "line", "match", "snippet")
+
+
+@query("filewide_mask", f"{FINDINGS} select path, rule_id, line, context from findings where contains(context, 'redacted')")
+def _(spark, d):
+    return findings(spark, d).select("path", "rule_id", "line", F.array_join("context", "\n").alias("context")).where(F.col("context").contains("redacted"))
+
+
+@query("context_lines", f"{FINDINGS} select path, rule_id, line, context from findings")
+def _(spark, d):
+    return findings(spark, d).select("path", "rule_id", "line", F.array_join("context", "\n").alias("context"))
+
+
+@query("snippet", f"{FINDINGS} select path, rule_id, line, snippet from findings")
+def _(spark, d):
+    return findings(spark, d).select("path", "rule_id", "line", "snippet")
+
+
+@query("sorted_findings", f'{FINDINGS} select severity, path, line, rule_id, "column", match, fingerprint from findings')
+def _(spark, d):
+    return filters.ordered(findings(spark, d)).select("severity", "path", "line", "rule_id", "column", "match", "fingerprint")
+
+
+@query("top_n_findings", f'{FINDINGS} select severity, path, line, rule_id, "column", fingerprint from findings order by {RANK}, path, line, rule_id, "column" limit 25')
+def _(spark, d):
+    return filters.capped(findings(spark, d), 25).select("severity", "path", "line", "rule_id", "column", "fingerprint")
+
+
+@query("severity_floor", f"{FINDINGS} select path, rule_id, line, severity from findings where {RANK} <= 2")
+def _(spark, d):
+    return findings(spark, d).where(at_least(F.col("severity"), "medium")).select("path", "rule_id", "line", "severity")
+
+
+@query("confidence_floor", f"{FINDINGS} select path, rule_id, line, confidence from findings where {TRUST} <= 1")
+def _(spark, d):
+    return findings(spark, d).where(at_least(F.col("confidence"), "medium", CONFIDENCES)).select("path", "rule_id", "line", "confidence")
+
+
+@query("severity_tally", f"{FINDINGS}, s(severity) as (values {', '.join(f'({s!r})' for s in SEVERITIES)}) select s.severity, count(findings.path) as n from s left join findings on findings.severity = s.severity group by 1")
+def _(spark, d):
+    return filters.tally(findings(spark, d))
+
+
+@query("severity_overrides", f"{FINDINGS} select case rule_id when 'docs.mail' then 'high' else severity end as severity, count(*) as n from findings group by 1")
+def _(spark, d):
+    raw = api.with_native(documents(spark, d), RULES, CONFIG)
+    return match.with_rule_texts(raw, RULES, ScanConfig(severity_overrides={"docs.mail": "high"})).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+# known findings: those whose first hex digit is below 4
+@query("baseline_anti_join", f"{FINDINGS} select path, rule_id, fingerprint from findings where substr(fingerprint, 1, 1) not in ('0', '1', '2', '3')")
+def _(spark, d):
+    x = findings(spark, d)
+    known = x.where(F.substring("fingerprint", 1, 1).isin("0", "1", "2", "3")).select("fingerprint")
+    return filters.disposed(x, known, ScanConfig()).where("disposition = 'kept'").select("path", "rule_id", "fingerprint")
+
+
+@query(
+    "disposition_counts",
+    f"""{FINDINGS}, w as (select *, case when line = 1 then 'suppressed' when substr(fingerprint, 1, 1) in ('0', '1', '2', '3') then 'baselined' when {RANK} > 2 or {TRUST} > 1 then 'filtered' else 'kept' end as w from findings)
+    select count(*) filter (w = 'kept') as kept, count(*) filter (w = 'suppressed') as suppressed, count(*) filter (w = 'baselined') as baselined, count(*) filter (w = 'filtered') as filtered from w""",
+)
+def _(spark, d):
+    x = findings(spark, d).withColumn("suppressed", F.col("line") == 1)
+    known = x.where(F.substring("fingerprint", 1, 1).isin("0", "1", "2", "3")).select("fingerprint")
+    return filters.counts(filters.disposed(x, known, ScanConfig(min_severity="medium", min_confidence="medium")))
+
+
+# ---- suppression comments, written into the texts here -----------------------
+
+MARKED_SQL = "select concat(source, '/', doc_id, '.txt') as path, doc_id, case doc_id % 5 when 0 then replace(text, chr(10), concat('  # scan: ignore [docs.a*] -- seen', chr(10))) when 1 then replace(text, chr(10), concat(chr(10), '# scan: ignore', chr(10))) when 2 then concat(text, chr(10), '// scan: ignore-file [docs.token, docs.license]') else text end as text from documents where text is not null"
+MARKED = FINDINGS.replace(FILES, f"files as (select path, text from ({MARKED_SQL}))")
+
+
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 5
+    body = F.when(k == 0, F.replace("text", F.lit("\n"), F.lit("  # scan: ignore [docs.a*] -- seen\n"))).when(k == 1, F.replace("text", F.lit("\n"), F.lit("\n# scan: ignore\n"))).when(k == 2, F.concat("text", F.lit("\n// scan: ignore-file [docs.token, docs.license]"))).otherwise(F.col("text"))
+    return sources.from_table(table(spark, d, "documents"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), body)
+
+
+def marked_findings(spark: SparkSession, d: str) -> DataFrame:
+    return match.with_rule_texts(api.with_native(marked(spark, d), RULES, ScanConfig()), RULES, CONFIG)
+
+
+_DOC = "(regexp_extract(path, '/([0-9]+)', 1)::bigint % 5)"
+
+
+@query(
+    "suppressions_line",
+    f"""{MARKED}, t as (select path as p, string_split(text, chr(10)) as lines from files)
+    select path, rule_id, line, case when {_DOC} = 0 then rule_id like 'docs.a%' and line < len(lines) else line > 1 and lines[line - 1] = '# scan: ignore' end as suppressed, case when {_DOC} = 0 and rule_id like 'docs.a%' and line < len(lines) then 'seen' else '' end as suppressed_by
+    from findings join t on p = path where {_DOC} < 2""",
+)
+def _(spark, d):
+    return marked_findings(spark, d).where(F.regexp_extract("path", "/([0-9]+)", 1).cast("long") % 5 < 2).select("path", "rule_id", "line", "suppressed", "suppressed_by")
+
+
+@query("suppressions_file", f"{MARKED} select path, rule_id, line, rule_id in ('docs.token', 'docs.license') as suppressed from findings where {_DOC} = 2")
+def _(spark, d):
+    return marked_findings(spark, d).where(F.regexp_extract("path", "/([0-9]+)", 1).cast("long") % 5 == 2).select("path", "rule_id", "line", "suppressed")
+
+
+@query("suppression_comments", f"with f as ({MARKED_SQL}), l as (select path, doc_id, unnest(string_split(text, chr(10))) as line from f) select path, case when contains(line, 'ignore-file') then 'file' when line = '# scan: ignore' then 'below' else 'trailing' end as kind, count(*) as n from l where contains(line, 'scan: ignore') group by all")
+def _(spark, d):
+    return suppress.table(marked(spark, d)).groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+# ---- entropy ---------------------------------------------------------------
+
+_ENTROPY_CTE = f"with {FILES}, l as (select path, unnest(string_split(text, chr(10))) as t, unnest(generate_series(1, len(string_split(text, chr(10))))) as line from files), a as (select path, line, unnest(regexp_extract_all(t, 'token = \"([0-9a-f]+)\"', 1)) as value from l)"
+
+
+@query("entropy_histogram", f"{_ENTROPY_CTE} select path, line, value, round(list_entropy(string_split(value, '')), 6) as entropy from a")
+def _(spark, d):
+    return entropy.assignments(documents(spark, d)).select("path", "line", "value", F.round(text.entropy(F.col("value")), 6).alias("entropy"))
+
+
+@query("entropy_gates", f"{_ENTROPY_CTE} select case when length(value) = 40 then 'shape' end as reason, count(*) as n from a group by 1")
+def _(spark, d):
+    return entropy.gates(entropy.assignments(documents(spark, d))).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("entropy_candidates", f"{_ENTROPY_CTE} select path, line, concat('q', value) as value, round(list_entropy(string_split(concat('q', value), '')), 6) as entropy from a where list_entropy(string_split(concat('q', value), '')) >= 3.9")
+def _(spark, d):
+    """A letter before each value keeps it from the shapes that are left out."""
+    f = documents(spark, d).withColumn("text", F.regexp_replace("text", 'token = "([0-9a-f]+)"', 'token = "q$1"'))
+    return entropy.gates(entropy.assignments(f), 3.9).where("reason = ''").select("path", "line", "value", F.round("entropy", 6).alias("entropy"))
+
+
+# ---- outputs ---------------------------------------------------------------
+
+
+@query("csv_projection", f"{FINDINGS} select concat('scan-', substr(fingerprint, 1, 10)) as key, severity, confidence, rule_id, path, line, title, cwe, category, match from findings")
+def _(spark, d):
+    return reports.csv_rows(findings(spark, d))
+
+
+@query(
+    "cache_row",
+    f"""{FINDINGS} select concat('scan-', substr(fingerprint, 1, 10)) as ref, 'scan' as store, ('0x' || substr(fingerprint, 1, 8))::bigint as id, title, severity, location as affected_asset, cwe as cwe_id,
+    concat(case when description <> '' then description else title end, chr(10), chr(10), 'Found by local rule ', rule_id, ' (', confidence, ' confidence) at ', location, '.', chr(10), chr(10), 'A static match, not a proven exploit: confirm that it can be reached.') as description,
+    concat(location, chr(10), chr(10), context, case when match <> '' and not contains(snippet, match) then concat(chr(10), chr(10), 'matched: ', match) else '' end) as evidence, concat_ws(concat(chr(10), chr(10)), nullif(remediation, ''), case when rule_id = 'docs.mail' then concat('References:', chr(10), '- https://example.org/mail') end) as remediation from findings""",
+)
+def _(spark, d):
+    return reports.cache_rows(findings(spark, d), "now").select("ref", "store", "id", "title", "severity", "affected_asset", "cwe_id", "description", "evidence", "remediation")
+
+
+@query("cache_merge", f"{FINDINGS} select 'scan' as store, concat('scan-', substr(fingerprint, 1, 10)) as ref from findings union all select 'other', concat('e-', item_id) from benchmark where item_id % 2 = 0")
+def _(spark, d):
+    existing = table(spark, d, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "other").otherwise("scan").alias("store"), F.concat(F.lit("e-"), F.col("item_id").cast("string")).alias("ref"))
+    return reports.merged_cache(reports.cache_rows(findings(spark, d), "now").select("store", "ref"), existing)
+
+
+@query(
+    "sarif_rule_index",
+    f"""{FINDINGS}, f as (select *, row_number() over (partition by rule_id order by {RANK}, path, line, "column") as k from findings)
+    select row_number() over (order by {RANK}, path, line, rule_id, "column") - 1 as rule_index, rule_id, title, case severity when 'critical' then 'error' when 'high' then 'error' when 'medium' then 'warning' else 'note' end as level, case severity when 'critical' then '9.5' when 'high' then '8.0' when 'medium' then '5.5' when 'low' then '3.0' else '1.0' end as score from f where k = 1""",
+)
+def _(spark, d):
+    return reports.sarif_rules(findings(spark, d)).select("rule_index", "rule_id", "title", "level", "score")
+
+
+@query("changed_files_semi", f"{HITS} select path, rule_id, count(*) as n from hits where path in (select concat(source, '/', doc_id, '.txt') from documents join labels using (doc_id) where quality = 1) group by all")
+def _(spark, d):
+    changed = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    return native.raw_matches(documents(spark, d).join(changed, "path", "left_semi"), RULES).groupBy(F.col("relpath").alias("path"), "rule_id").agg(F.count("*").alias("n"))
+
+
+@query("ignored_anti", f"{HITS} select path, rule_id, count(*) as n from hits where path not in (select concat(source, '/', doc_id, '.txt') from documents join labels using (doc_id)) group by all")
+def _(spark, d):
+    ignored = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id", "left_semi").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    return native.raw_matches(documents(spark, d).join(ignored, "path", "left_anti"), RULES).groupBy(F.col("relpath").alias("path"), "rule_id").agg(F.count("*").alias("n"))
+
+
+# ---- the whole engine: rows only ---------------------------------------------
+
+
+def _scan(name: str, id_: str, ext: str, body: str, spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, name)
+    got = api.scan_table(spark, t, F.concat(F.lit(f"{name}/"), F.col(id_).cast("string"), F.lit(ext)), F.col(body), ScanConfig())
+    return got.findings.select("severity", "rule_id", "path", "line", "column", "match", "fingerprint")
+
+
+@query("scan_documents")
+def _(spark, d):
+    """The full rule set; documents are read as Python, JavaScript, PHP and more by turns."""
+    t = table(spark, d, "documents")
+    exts = (".py", ".js", ".php", ".java", ".go", ".yml", ".sh", ".tf")
+    ext = F.element_at(F.array(*map(F.lit, exts)), (F.col("doc_id") % len(exts) + 1).cast("int"))
+    got = api.scan_table(spark, t, F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), ext), F.col("text"), ScanConfig())
+    return got.findings.select("severity", "rule_id", "path", "line", "column", "match", "fingerprint")
+
+
+@query("scan_pages")
+def _(spark, d):
+    return _scan("pages", "page_id", ".js", "html", spark, d)
+
+
+@query("scan_conversations")
+def _(spark, d):
+    t = table(spark, d, "conversations").withColumn("name", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    got = api.scan_table(spark, t, F.concat(F.lit("conversations/"), F.col("name"), F.lit(".md")), F.col("text"), ScanConfig())
+    return got.findings.select("severity", "rule_id", "path", "line", "column", "match", "fingerprint")
