@@ -24,6 +24,7 @@ an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -42,9 +43,10 @@ OUTER = b".,;:!?\"'()[]{}<>|*#$%&-"
 
 @dataclass(frozen=True)
 class Search:
-    steps: int = 14  # of a walk; it reads about half as many words
-    samples: int = 5  # coordinates of a repetition, the first one among them
-    repetitions: int = 6
+    steps: int = 16  # of a walk; it reads about half as many words
+    samples: int = 9  # coordinates of a repetition, the first one among them
+    repetitions: int = 8
+    lengths: tuple[int, ...] = (1, 2, 4, 6, 8, 10, 13)  # shorter walks, for items with fewer than 1.5 times the words
     percent: int = 20  # largest edit distance, of the item's characters
     block_chars: int = 4_000_000
     seed: int = 17
@@ -116,7 +118,8 @@ class Index:
         self.items = [x for x in self.items if x[1]]
         by_steps: dict[int, list[int]] = {}
         for k, (_, w) in enumerate(self.items):
-            by_steps.setdefault(min(p.steps, max(min(4, len(w)), 2 * len(w) // 3)), []).append(k)
+            most = max(min(4, len(w)), 2 * len(w) // 3)
+            by_steps.setdefault(max(x for x in (*p.lengths, p.steps) if x <= max(most, 1)), []).append(k)
         self.families = []
         for steps, members in sorted(by_steps.items()):
             words, item, offset = [], [], []
@@ -194,12 +197,21 @@ def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def verify(words: list[bytes], item: list[bytes], first: int, last: int) -> tuple[int, int, int]:
-    """Distance, first word and word after the last of the best part for windows that start at words ``first`` to ``last``."""
+def grams(text: bytes) -> Counter:
+    return Counter(zip(text, text[1:], text[2:]))
+
+
+def verify(words: list[bytes], item: list[bytes], first: int, last: int, percent: int) -> tuple[int, int, int]:
+    """Distance, first word and word after the last of the best part for windows that start at words ``first`` to ``last``.
+
+    An edit changes at most three 3-grams: too few common ones rule the window out before the alignment."""
     slack = len(item) // 4 + 3
     a, b = max(0, first - slack), min(len(words), last + len(item) + slack)
     part = [normal(w) for w in words[a:b]]
     text, pattern = b" ".join(part), b" ".join(item)
+    most = percent * len(pattern) // 100
+    if (grams(pattern) & grams(text)).total() < len(pattern) - 2 - 3 * most:
+        return len(pattern), a, b
     distance, end = best_match(pattern, text)
     _, back = best_match(pattern[::-1], text[:end][::-1])
     start = end - back
@@ -235,7 +247,7 @@ def search(texts: list[str | None], index: Index) -> list[list[tuple]]:
     for d, k, lo, hi in groups:
         item_id, words = index.items[k]
         chars = len(b" ".join(words))
-        distance, a, b = verify(split_texts[d], words, lo, hi)
+        distance, a, b = verify(split_texts[d], words, lo, hi, p.percent)
         if 100 * distance <= p.percent * chars:
             out[d].append((item_id, a, b, distance, chars))
     for d, hits in enumerate(out):
