@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,33 +53,48 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zµß-öø-ÿ]+|[0-9]|[^\s0-9a-z
 class Encoder(dict):
     """Ids of whole texts, as little-endian bytes.
 
-    The tokenizer encodes each piece of its own split alone, so pieces are
-    remembered; texts beyond plain Latin-1 go through the tokenizer whole."""
+    The tokenizer encodes each piece of its own split alone, so its model is
+    asked piece by piece and pieces are remembered; texts beyond plain Latin-1,
+    and all texts if the tokenizer splits otherwise, go through it whole."""
+
+    probe = "It's an Été, don't: 3.50_x #ñ\xdf!?  'LL (we've)\n--\xb5\xd7\xf7"
 
     def __init__(self, p: Packing):
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(p.tokenizer or public_tokenizers.path("word_bpe_49k.json"))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65536 else "<u4")
         self.most, self.end = p.remembered, np.array([p.end], self.dtype).tobytes()
+        self.model, level = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
+        self.split = True
+        self.split = self.encode(self.probe) == self.whole(self.probe) + self.end
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
+        found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.bytes))
+        ids = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in found])
         if len(self) < self.most:
             self[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if "<|" in text or not PLAIN.fullmatch(text):
+        if not self.split or "<|" in text or not PLAIN.fullmatch(text):
             return self.whole(text) + self.end
         return b"".join(map(self.__getitem__, PIECE.findall(text.lower()))) + self.end
 
 
+@lru_cache(2)
+def encoder(p: Packing) -> Encoder:
+    """One of a process: what it remembers serves all its tasks."""
+    return Encoder(p)
+
+
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     """Index along the Hilbert curve of integer points ``x[n, dims]`` below ``2**bits``."""
     x = x.astype(np.int64).T.copy()
@@ -129,7 +145,7 @@ PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_
 
 def coded(docs: DataFrame, p: Packing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(p)
+        enc = encoder(p)
         for whole in batches:
             for at in range(0, len(whole), 2000):
                 b = whole.slice(at, 2000)
