@@ -2,7 +2,8 @@
 
 Trust spreads from hosts whose pages the rules allow along host edges
 (personalised PageRank), distrust from blocked hosts along the reversed edges;
-a host is blocked when its distrust exceeds both a floor and its trust.  Host
+a host is blocked when its distrust exceeds both a floor and its trust.  Seeds
+come from the rules alone, unless the caller gives ``blocked_labels``.  Host
 edges are absolute hyperlinks plus the tie between a host and its parent host
 (``www.a.example.com`` - ``a.example.com``).  DataFrame functions only.
 
@@ -44,7 +45,7 @@ class Propagation:
     iterations: int = 12
     seed_share: float = 0.5  # a host seeds when so large a share of its pages is judged by a rule
     floor: float = 0.05
-    blocked_labels: tuple[str, ...] = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")  # hosts with such a label seed distrust in full
+    blocked_labels: tuple[str, ...] = ()  # given by the caller: hosts with such a label seed distrust in full
     parent_labels: int = 3  # parents with fewer labels tie no hosts together
     broadcast_hosts: int = 200_000  # host verdicts beyond this many rows are joined by shuffle
 

@@ -46,3 +46,11 @@ def test_sql_agrees(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
     assert got == set(c.execute(U.oracle()).fetchall())
+
+
+def test_no_host_is_blocked_by_a_built_in_name(spark):
+    names = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm", "other-spam")
+    df = spark.createDataFrame([(i, f"http://www.{x}.example.com/en/", "<a href='/x'>") for i, x in enumerate(names)], SCHEMA)
+    assert {r.verdict for r in U.judge(df).collect()} == {"allow"}
+    given = U.judge(df, p=U.Propagation(blocked_labels=("other-spam",))).collect()
+    assert {r.page_id for r in given if r.verdict == "block"} == {6}
