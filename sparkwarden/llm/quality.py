@@ -62,7 +62,6 @@ class Divergence:
     min_chars: int = 300
     min_words: int = 60
     common_words: int = 48  # of each language
-    lossy: float = 1e-5  # words rarer than this in a batch are not counted there; a common word loses at most this share
 
 
 def class_histogram(text: str) -> np.ndarray:
@@ -120,25 +119,32 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, list[str]]:
 REFERENCE = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.float64())])
 
 
-def count_references(docs: DataFrame, p: Divergence) -> DataFrame:
-    """``lang, word, n`` over all documents; class counts and totals have words that start with a space."""
+def count_references(docs: DataFrame, most: int = 200_000) -> DataFrame:
+    """``lang, word, n`` over all documents; class counts and totals have words that start with a space.
+
+    A task adds up its batches and sends its counts on when it holds ``most`` words, so the sums are exact."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
+    def rows(words: dict[str, Counter], classes: dict[str, np.ndarray]) -> pa.RecordBatch:
+        out: list[tuple[str, str, float]] = []
+        for lang, c in words.items():
+            out += [(lang, w, float(n)) for w, n in c.items()]
+            out.append((lang, " total", float(c.total())))
+            out += [(lang, f" {x}", float(n)) for x, n in zip(CLASSES, classes[lang])]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), REFERENCE.types)], schema=REFERENCE)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = {}
+        classes: dict[str, np.ndarray] = {}
         for b in batches:
-            words: dict[str, Counter] = {}
-            classes: dict[str, np.ndarray] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 text, lang = text or "", lang or ""
                 words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
                 classes[lang] = classes.get(lang, 0) + class_histogram(text)
-            out: list[tuple[str, str, float]] = []
-            for lang, c in words.items():
-                total = c.total()
-                out += [(lang, w, float(n)) for w, n in c.items() if n > p.lossy * total and n > 1]
-                out.append((lang, " total", float(total)))
-                out += [(lang, f" {x}", float(n)) for x, n in zip(CLASSES, classes[lang])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), REFERENCE.types)], schema=REFERENCE)
+            if sum(map(len, words.values())) >= most:
+                yield rows(words, classes)
+                words, classes = {}, {}
+        yield rows(words, classes)
 
     return docs.select("lang", "text").mapInArrow(run, from_arrow_schema(REFERENCE)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -150,9 +156,10 @@ def references(docs: DataFrame, p: Divergence = Divergence()) -> dict[str, tuple
     from pyspark.sql import Window as W
 
     special = F.col("word").startswith(" ")
-    top = count_references(docs, p).withColumn("_k", F.row_number().over(W.partitionBy("lang", special).orderBy(F.desc("n"), "word")))
+    top = count_references(docs).withColumn("_k", F.row_number().over(W.partitionBy("lang", special).orderBy(F.desc("n"), "word")))
     out: dict[str, tuple[np.ndarray, list[str], np.ndarray]] = {}
     rows: dict[str, dict[str, float]] = {}
+    top = top.where(F.col("_k") <= max(p.common_words, len(CLASSES) + 1))  # tasks cut to this before the shuffle
     for r in top.where(special | (F.col("_k") <= p.common_words)).collect():
         rows.setdefault(r.lang, {})[r.word] = r.n
     for lang, n in rows.items():

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -58,3 +59,17 @@ def test_distance_bounds():
 
     assert Q.js_distance(np.array([1.0, 0]), np.array([0, 3.0])) == 1.0
     assert Q.js_distance(np.array([1.0, 2]), np.array([2, 4.0])) == 0.0
+
+
+def test_references_are_exact_however_the_rows_are_dealt(spark):
+    texts = [f"the of Word{i % 7} rare{i}" for i in range(40)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(99, "une fois chaque mot", "fr")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(20)
+    want = {("en", w): n for w, n in Counter(" ".join(texts).lower().split()).items()} | {("fr", w): 1 for w in "une fois chaque mot".split()}
+    for most in (1, 200_000):
+        got = {(r.lang, r.word): r.n for r in Q.count_references(df, most).collect()}
+        assert {k: n for k, n in got.items() if k[1][0] != " "} == want
+        assert got["en", " total"] == 160 and got["fr", " total"] == 4
+    ref = Q.references(df)
+    assert ref["fr"][1] == sorted("une fois chaque mot".split()) and ref["fr"][2][-1] == 0
+    assert dict(zip(ref["en"][1], ref["en"][2]))["the"] == 40 and len(ref["en"][1]) == 48
