@@ -315,9 +315,22 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component, once."""
-    lost = components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The document with the smallest doc_id of each component, once; rows without doc_id all stay.
+
+    Where rows of one doc_id differ in text, each (doc_id, text) is a document of its own."""
+    names = docs.columns
+    keys = [F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), F.col("text")).alias("_h2")]
+    texts = materialise(docs.where("doc_id is not null").select("doc_id", *keys).distinct(), "jaccard-texts")
+    if texts.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # ids in the order of doc_id: the smallest node of a component has its smallest doc_id
+        texts = materialise(texts.orderBy("doc_id", "_h", "_h2").withColumn("_node", F.monotonically_increasing_id()), "jaccard-nodes")
+        marked = docs.select("*", *keys).join(texts, ["doc_id", "_h", "_h2"], "left")
+        docs = materialise(marked.select(*names, "_node"), "jaccard-marked")
+    else:
+        docs = docs.withColumn("_node", F.col("doc_id"))
+    lost = components(docs.select(F.col("_node").alias("doc_id"), "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("_node")).distinct()
+    left = docs.join(lost, "_node", "left_anti").withColumn("_row", F.when(F.col("_node").isNull(), F.monotonically_increasing_id()))
+    return left.dropDuplicates(["_node", "_row"]).select(*names)
 
 
 QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard}

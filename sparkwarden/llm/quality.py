@@ -172,6 +172,22 @@ def references(docs: DataFrame, p: Divergence = Divergence()) -> dict[str, tuple
 OUT = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64())])
 
 
+def verdict(text: str | None, lang: str | None, ref: dict, p: Divergence) -> tuple[list[int], bool, bool, float, float]:
+    """Counts, base_failed, kept and both distances of one row."""
+    *counts, words = base_counts(text)
+    failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+    near_class = near_word = 0.0
+    if of := ref.get(lang or ""):
+        if len(text or "") >= p.min_chars:
+            near_class = js_distance(class_histogram(text), of[0])
+        if len(words) >= p.min_words and of[1]:
+            seen = Counter(text.lower().split())
+            hits = [seen[w] for w in of[1]]
+            near_word = js_distance(np.array([*hits, max(0, len(words) - sum(hits))]), of[2])
+    kept = not failed and near_class <= p.max_class_distance and near_word <= p.max_word_distance
+    return counts, failed, kept, near_class, near_word
+
+
 def judge(docs: DataFrame, p: Divergence = Divergence()) -> DataFrame:
     """Counts, distances and verdict of every row."""
     ref = references(docs, p)
@@ -179,18 +195,8 @@ def judge(docs: DataFrame, p: Divergence = Divergence()) -> DataFrame:
     def rows(b: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {f.name: [] for f in OUT}
         for doc_id, text, lang in zip(b["doc_id"], b["text"], b["lang"]):
-            *counts, words = base_counts(text)
-            failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
-            near_class = near_word = 0.0
-            if lang := ref.get(lang or ""):
-                if len(text or "") >= p.min_chars:
-                    near_class = js_distance(class_histogram(text), lang[0])
-                if len(words) >= p.min_words and lang[1]:
-                    seen = Counter(text.lower().split())
-                    hits = [seen[w] for w in lang[1]]
-                    near_word = js_distance(np.array([*hits, max(0, len(words) - sum(hits))]), lang[2])
-            kept = not failed and near_class <= p.max_class_distance and near_word <= p.max_word_distance
-            for k, v in zip(out, (doc_id, *counts, failed, kept, near_class, near_word)):
+            counts, *rest = verdict(text, lang, ref, p)
+            for k, v in zip(out, (doc_id, *counts, *rest)):
                 out[k].append(v)
         return out
 
@@ -202,9 +208,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, in their own columns."""
-    kept = judge(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Rows that the rules keep, in their own columns; each row has its own verdict, whatever its doc_id."""
+    p = Divergence()
+    ref = references(docs, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, lang = (b.column(b.schema.names.index(c)).to_pylist() for c in ("text", "lang"))
+            yield b.filter(pa.array([verdict(t, x, ref, p)[2] for t, x in zip(text, lang)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}

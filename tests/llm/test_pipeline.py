@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from sparkwarden.llm import decontaminate, packing, quality, secrets
+from sparkwarden.llm import decontaminate, jaccard, packing, quality, secrets
 
 from .test_jaccard import brute as brute_components
 from .test_packing import check
@@ -45,3 +45,20 @@ def test_stages_keep_the_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_or_with_a_shared_doc_id_are_judged_one_by_one(spark):
+    rng = random.Random(8)
+    common = "the of and to in is was that for with".split()
+    prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("aeinorstlhd", k=6)) for _ in range(120))
+    a, b, c, d = (prose() for _ in range(4))
+    rows = [(i, prose(), "en") for i in range(10, 40)]
+    rows += [(None, a, "en"), (None, b, "en"), (None, "too short", "en"), (1, c, "en"), (1, "too short", "en"), (1, d, "en"), (1, d, "en"), (2, d + " end", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = quality.stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.text != "too short")
+    left = jaccard.stage(spark, kept, "")
+    assert left.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text) for r in left.collect() if (r.doc_id or 0) < 10)
+    assert got == sorted([("None", a), ("None", b), ("1", c), ("1", d)]) and left.count() == 34
