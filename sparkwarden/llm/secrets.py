@@ -212,7 +212,7 @@ def format_spans(text: str, known: dict[str, Automaton], p: Formats) -> list[Spa
     out: list[Span] = []
     for m in CANDIDATE.finditer(text):
         s = m[0].rstrip(".=-")
-        if not s.isalpha() and not s.isdigit() and any(c.isdigit() for c in s) and len(s) <= 4096 and format_of(s, known, p):
+        if format_of(s, known, p):
             out.append(("format", m.start(), m.start() + len(s)))
     return out
 

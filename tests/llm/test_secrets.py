@@ -63,3 +63,19 @@ def test_rows_and_edge_cases(spark):
     out = {r.doc_id: r for r in S.stage(spark, df, "").collect()}
     assert out[1].text == "é [SECRET] [SECRET]" and out[1].n_chars == len(out[1].text) and out[2].text is None and out[4].n_chars == 5
     assert S.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_and_digitless_candidates_are_scored():
+    rng = random.Random(6)
+    p = S.Formats()
+    known = S.automata(p)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    r = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    b64 = letters + "0123456789"
+    jwt = ".".join(("eyJ" + r(b64, 33), "eyJ" + r(b64 + "_-", 9000), r(b64 + "_-", 43)))
+    for key in (jwt, r(b64 + "+/", 5000)):
+        assert S.format_spans(f"x {key} y", known, p) == [("format", 2, 2 + len(key))]
+        assert S.redacted(f"x {key} y", S.all_spans(f"x {key} y", known, p)[1]) == "x [SECRET] y"
+    keys = ["sk_live_" + r(letters, 24) for _ in range(200)] + [r(letters, 40) for _ in range(200)]
+    assert sum(S.format_spans(k, known, p) != [] for k in keys) >= 0.9 * len(keys)
+    assert not any(S.format_spans(t, known, p) for t in ("z" * 50_000, "1234567890" * 8, "-" * 5000, "=" * 40, "https://example.org/some/long/path/of/plain/words", "an-ordinary-hyphenated-name-of-words"))
