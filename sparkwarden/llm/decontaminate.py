@@ -10,7 +10,7 @@ document and at every word of an item, so an edit spoils only the starts near
 it.  Coordinates are compared in order and a start is given up at the first one
 that no item has.  A candidate aligns an item-sized window of the document; its
 smallest edit distance in characters to the whole item is then computed exactly
-(bit-parallel, free ends in the window).
+(bit-parallel, free ends in the window), for many windows at a time.
 
 Items are held by every executor in blocks of at most ``block_chars`` characters;
 a larger benchmark takes one pass over the documents a block.
@@ -47,6 +47,9 @@ class Search:
     samples: int = 9  # coordinates of a repetition, the first one among them
     repetitions: int = 8
     lengths: tuple[int, ...] = (1, 2, 4, 6, 8, 10, 13)  # shorter walks, for items with fewer than 1.5 times the words
+    letter_steps: int = 26  # of a walk over letters, which starts at words too
+    letter_samples: int = 13
+    letter_repetitions: int = 8
     percent: int = 20  # largest edit distance, of the item's characters
     block_chars: int = 4_000_000
     seed: int = 17
@@ -92,6 +95,38 @@ def walk(words: np.ndarray, moves: np.ndarray, at: np.ndarray, start: int, end:
     return at
 
 
+def letter_plan(p: Search) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each repetition of walks over letters: sampled coordinates and the move at each step on each byte."""
+    g = np.random.default_rng(p.seed + 1)
+    out = []
+    for _ in range(p.letter_repetitions):
+        edges = np.linspace(1, p.letter_steps, p.letter_samples).astype(int)  # one from each stretch, so that no walk samples the same few letters
+        coords = np.concatenate(([0], g.integers(edges[:-1], edges[1:])))
+        out.append((coords, g.integers(0, 2, (p.letter_steps, 256)).astype(np.int32)))
+    return out
+
+
+def letters_of(texts: list[list[bytes]], steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, words set apart by blanks and texts by zeros, and where each word starts."""
+    data = b"\0".join(b" ".join(w) for w in texts) + bytes(steps + 1)
+    sizes = np.fromiter((n for w in texts for n in (*map(len, w), *(() if w else (0,)))), np.int64)
+    return np.frombuffer(data, np.uint8), np.cumsum(sizes + 1) - sizes - 1
+
+
+def letter_keys(text: np.ndarray, at: np.ndarray, coords: np.ndarray, moves: np.ndarray, levels: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the walks from ``at``, and which of the walks were not given up at a level."""
+    left, key, before = np.arange(len(at)), np.zeros(len(at), np.uint64), 0
+    at = at.astype(np.int32)
+    for i, c in enumerate(coords):
+        for j in range(before, c):
+            at = at + moves[j][text[at]]
+        key, before = key << np.uint64(7) ^ (key >> np.uint64(57)) ^ text[at], c
+        if levels is not None and i in levels:
+            on = levels[i].has(mix(key))
+            left, key, at = left[on], key[on], at[on]
+    return mix(key), left
+
+
 class Table:
     """Members of a set of 64-bit keys: a bitmap first, then a binary search."""
 
@@ -116,6 +151,7 @@ class Index:
         hashes = WordHash()
         self.items = [(i, [normal(w) for w in split(t)]) for i, t in items]
         self.items = [x for x in self.items if x[1]]
+        self.joined = [b" ".join(w) for _, w in self.items]
         by_steps: dict[int, list[int]] = {}
         for k, (_, w) in enumerate(self.items):
             most = max(min(4, len(w)), 2 * len(w) // 3)
@@ -126,7 +162,7 @@ class Index:
             usable = []
             for k in members:
                 w = [hashes[x] for x in self.items[k][1]]
-                usable += [o + steps <= len(w) or o == 0 for o in range(len(w))]
+                usable += [o + max(1, steps // 2) <= len(w) or o == 0 for o in range(len(w))]
                 words += w
                 item += [k] * len(w)
                 offset += range(len(w))
@@ -145,6 +181,30 @@ class Index:
                 order = np.argsort(key, kind="stable")
                 reps.append((coords, levels, key[order], item[starts][order], offset[starts][order]))
             self.families.append((steps, reps))
+        self.letters = []
+        text, at = letters_of([w for _, w in self.items], p.letter_steps)
+        item = np.repeat(np.arange(len(self.items)), [len(w) for _, w in self.items])
+        offset = np.concatenate([np.arange(len(w)) for _, w in self.items]) if self.items else item
+        for coords, moves in letter_plan(p) if self.items else ():
+            levels = {i: Table(letter_keys(text, at, coords[: i + 1], moves, None)[0]) for i in range(3, p.letter_samples)}
+            key, _ = letter_keys(text, at, coords, moves, None)
+            order = np.argsort(key, kind="stable")
+            self.letters.append((coords, moves, levels, key[order], item[order], offset[order]))
+
+    def letter_candidates(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """As ``candidates``, from walks over letters."""
+        text, begin = letters_of(texts, self.p.letter_steps)
+        number = np.concatenate([np.arange(len(w)) + before for w, before in zip(texts, np.cumsum([0] + [len(w) + 1 for w in texts]))] or [np.zeros(0, np.int64)])
+        begin = begin[np.repeat([len(w) > 0 for w in texts], [max(1, len(w)) for w in texts])]
+        found = []
+        for coords, moves, levels, keys, item, offset in self.letters:
+            key, left = letter_keys(text, begin, coords, moves, levels)
+            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            n = hi - lo
+            pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            s = np.repeat(number[left], n)
+            found.append((s - offset[pick], item[pick], s))
+        return found
 
     def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start words of item-sized windows: (where the item's first word would be, item, start of the walk)."""
@@ -197,22 +257,69 @@ def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def least_distances(patterns: list[bytes], of: np.ndarray, texts: list[bytes], chunk: int = 2000) -> np.ndarray:
+    """``best_match(patterns[of[i]], texts[i])[0]`` for all i: the same bit vectors in 64-bit blocks, many texts at a time."""
+    one, top = np.uint64(1), np.uint64(63)
+    sizes = np.array([len(x) for x in patterns], np.int64)
+    blocks_of, out = (sizes[of] + 63) // 64, np.zeros(len(texts), np.int64)
+    order = np.lexsort((np.fromiter(map(len, texts), np.int64, len(texts)), blocks_of))
+    for w in np.unique(blocks_of).tolist():
+        same = order[blocks_of[order] == w]
+        for cut in range(0, len(same), chunk):
+            at = same[cut : cut + chunk]
+            used, item = np.unique(of[at], return_inverse=True)
+            masks = np.zeros((len(used), 256, w), np.uint64)
+            for k, x in enumerate(used.tolist()):
+                for i, c in enumerate(patterns[x]):
+                    masks[k, c, i >> 6] |= one << np.uint64(i & 63)
+            longest = max(len(texts[i]) for i in at.tolist())
+            text = np.frombuffer(b"".join(texts[i].ljust(longest, b"\0") for i in at.tolist()), np.uint8).reshape(len(at), longest)
+            pv, mv = [np.full(len(at), ~np.uint64(0)) for _ in range(w)], [np.zeros(len(at), np.uint64) for _ in range(w)]
+            score = sizes[of[at]]
+            last, best = ((score - 1) & 63).astype(np.uint64), score.copy()
+            for j in range(longest):
+                eqs = masks[item, text[:, j]]
+                p_in = m_in = np.zeros(len(at), np.uint64)
+                for b in range(w):
+                    eq = eqs[:, b]
+                    xv = eq | mv[b]
+                    eq = eq | m_in
+                    xh = (((eq & pv[b]) + pv[b]) ^ pv[b]) | eq
+                    ph, mh = mv[b] | ~(xh | pv[b]), pv[b] & xh
+                    if b == w - 1:
+                        score = score + ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
+                    p_out, m_out = ph >> top, mh >> top
+                    ph, mh = ph << one | p_in, mh << one | m_in
+                    pv[b], mv[b] = mh | ~(xv | ph), ph & xv
+                    p_in, m_in = p_out, m_out
+                best = np.minimum(best, score)
+            out[at] = best
+    return out
+
+
 def grams(text: bytes) -> Counter:
     return Counter(zip(text, text[1:], text[2:]))
 
 
+def window(n: int, item: list[bytes], first: int, last: int) -> tuple[int, int]:
+    """First word and word after the last of the part, of a text of ``n`` words, that is searched for ``item``."""
+    slack = len(item) // 4 + 3
+    return max(0, first - slack), min(n, last + len(item) + slack)
+
+
 def verify(words: list[bytes], item: list[bytes], first: int, last: int, percent: int) -> tuple[int, int, int]:
     """Distance, first word and word after the last of the best part for windows that start at words ``first`` to ``last``.
 
     An edit changes at most three 3-grams: too few common ones rule the window out before the alignment."""
-    slack = len(item) // 4 + 3
-    a, b = max(0, first - slack), min(len(words), last + len(item) + slack)
+    a, b = window(len(words), item, first, last)
     part = [normal(w) for w in words[a:b]]
     text, pattern = b" ".join(part), b" ".join(item)
     most = percent * len(pattern) // 100
     if (grams(pattern) & grams(text)).total() < len(pattern) - 2 - 3 * most:
         return len(pattern), a, b
     distance, end = best_match(pattern, text)
+    if distance > most:
+        return distance, a, b
     _, back = best_match(pattern[::-1], text[:end][::-1])
     start = end - back
     begins = np.cumsum([0] + [len(w) + 1 for w in part])
@@ -233,7 +340,9 @@ def search(texts: list[str | None], index: Index) -> list[list[tuple]]:
     flat = np.zeros(int(ends[-1]), np.uint64)  # a zero after each text: no item has it
     for w, e in zip(split_texts, ends):
         flat[e - 1 - len(w) : e - 1] = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-    begin, item, start = index.candidates(flat)
+    known: dict[bytes, bytes] = {}
+    plain = [[known.get(x) or known.setdefault(x, normal(x)) for x in w] for w in split_texts]
+    begin, item, start = (np.concatenate(x) for x in zip(index.candidates(flat), *index.letter_candidates(plain)))
     doc = np.searchsorted(ends, start, "right")
     order = np.lexsort((begin, item, doc))
     groups: list[tuple[int, int, int, int]] = []
@@ -244,8 +353,20 @@ def search(texts: list[str | None], index: Index) -> list[list[tuple]]:
             groups[-1] = (d, k, groups[-1][2], b)
         else:
             groups.append((d, k, b, b))
-    for d, k, lo, hi in groups:
+    parts, owner = [], []
+    for g, (d, k, lo, hi) in enumerate(groups):
+        text, chars = b" ".join(plain[d][slice(*window(len(plain[d]), index.items[k][1], lo, hi))]), len(index.joined[k])
+        most = chars * (100 + p.percent) // 100 + 1  # no match is longer, so pieces that overlap by it lose none
+        cuts = range(0, max(1, len(text) - most), most)
+        parts += [text[i : i + 2 * most] for i in cuts]
+        owner += [g] * len(cuts)
+    least = np.full(len(groups), np.iinfo(np.int64).max)
+    if owner:
+        np.minimum.at(least, owner, least_distances(index.joined, np.array([groups[g][1] for g in owner], np.int64), parts))
+    for (d, k, lo, hi), low in zip(groups, least.tolist()):
         item_id, words = index.items[k]
+        if 100 * low > p.percent * len(index.joined[k]):
+            continue
         chars = len(b" ".join(words))
         distance, a, b = verify(split_texts[d], words, lo, hi, p.percent)
         if 100 * distance <= p.percent * chars:

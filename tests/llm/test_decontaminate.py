@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import decontaminate as D
@@ -92,3 +93,31 @@ def test_table_and_stage(spark, tmp_path):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     out = D.stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["3", "4", "None"]
+
+
+def test_recall_on_letter_edits():
+    rng = random.Random(12)
+    vocab = vocabulary(rng)
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice((15, 30, 50))))) for i in range(60)]
+    index = D.Index(items, D.Search())
+
+    def lettered(text, every):
+        out = text.split()
+        for n in range(0, len(out), every):
+            i = rng.randrange(len(out[n]))
+            out[n] = out[n][:i] + rng.choice("bcfgjkm") + out[n][i + 1 :]
+        return " ".join(out)
+
+    for every in (1, 2, 3):
+        texts = [" ".join(rng.choices(vocab, k=20)) + " " + lettered(t, every) + " " + " ".join(rng.choices(vocab, k=20)) for _, t in items]
+        near = [k for k, (_, t) in enumerate(items) if 100 * distance(t.encode(), texts[k].encode()) <= 20 * len(t)]
+        found = D.search(texts, index)
+        assert len(near) > 40 and sum(items[k][0] in {h[0] for h in found[k]} for k in near) >= (0.9 if every == 1 else 0.98) * len(near)
+
+
+def test_distances_of_many_windows():
+    rng = random.Random(3)
+    patterns = [bytes(rng.choices(b"abc d", k=k)) for k in (1, 5, 63, 64, 65, 128, 129, 200)]
+    of = [rng.randrange(len(patterns)) for _ in range(200)]
+    texts = [bytes(rng.choices(b"abc d", k=rng.randint(0, 150))) + patterns[o][: rng.randint(0, 200)] for o in of]
+    assert D.least_distances(patterns, np.array(of), texts, chunk=30).tolist() == [D.best_match(patterns[o], t)[0] for o, t in zip(of, texts)]
