@@ -1,239 +1,296 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distance.
 
-Texts are sequences of words (lower case, outer punctuation dropped).  The CGK
-walk reads such a sequence with a pointer that a random function of (step,
-word) moves on or leaves, writing the word under it at every step: sequences at
-a small edit distance get embeddings at a small Hamming distance.  Each
-repetition has its own random function and samples a few coordinates of the
-embedding; equal samples make a candidate.  Walks start at every word of a
-document and at every word of an item, so an edit spoils only the starts near
-it.  Coordinates are compared in order and a start is given up at the first one
-that no item has.  A candidate aligns an item-sized window of the document; its
-smallest edit distance in characters to the whole item is then computed exactly
-(bit-parallel, free ends in the window), for many windows at a time.
-
-Items are held by every executor in blocks of at most ``block_chars`` characters;
-a larger benchmark takes one pass over the documents a block.
+Texts are read as bytes: A-Z lower-cased, each run of blanks and punctuation one
+blank.  The CGK walk reads a text with a pointer that a random function of (step,
+byte) moves on or leaves, writing the byte under it at every step: texts at a
+small edit distance get embeddings at a small Hamming distance while their walks
+stay in step.  At the distance that is searched, an edit comes every few letters
+and two walks part for good after the first ones, so one walk over a whole item
+finds nothing beyond a few percent (README has figures).  The embedding of an
+item-sized window is therefore restarted at every word: the walks of all its
+words, each as long as the item allows.  With ``n`` words, a walk that reads ``l``
+letters meets no edit with probability ``(1 - percent) ** l``; ``l`` is the
+largest for which one of ``n`` such walks does with probability ``target``.
+
+Each repetition has its own random function and samples one coordinate of every
+two of a walk.  Equal samples align an item-sized window of the document with the
+item.  A window whose 4-grams and 3-grams are too few of the item's to be within
+the distance is dropped (an edit changes at most four or three of them, so none is
+lost); the rest is compared exactly, by bit-parallel edit distance with free ends.
+
+The index of a block of ``block_chars`` characters of items is sent to the
+executors and kept once a process.  A benchmark of several blocks takes a pass
+over the documents for each, one block in memory at a time.
 
 Nulls and odd input: null or blank texts and items match nothing; short items
-get shorter walks; very long texts are searched whole;
-repeated rows give repeated rows; extra columns are ignored; empty tables give
-an empty result.
+get shorter walks; very long texts are searched whole, in stretches; equal items
+and ties between passages are all reported, of windows that overlap the best;
+repeated rows give repeated rows; rows without doc_id are searched and their
+hits have none; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import table
+from .common import materialise, table
 
-WORD = re.compile("[^\x20\x09-\x0d]+")
-OUTER = b".,;:!?\"'()[]{}<>|*#$%&-"
+BLANK = 32
+PUNCTUATION = b".,;:!?\"'()[]{}<>|*#$%&-"
 
 
-@dataclass(frozen=True)
-class Search:
-    steps: int = 16  # of a walk; it reads about half as many words
-    samples: int = 9  # coordinates of a repetition, the first one among them
-    repetitions: int = 8
-    lengths: tuple[int, ...] = (1, 2, 4, 6, 8, 10, 13)  # shorter walks, for items with fewer than 1.5 times the words
-    letter_steps: int = 26  # of a walk over letters, which starts at words too
-    letter_samples: int = 13
-    letter_repetitions: int = 8
-    percent: int = 20  # largest edit distance, of the item's characters
-    block_chars: int = 4_000_000
-    seed: int = 17
-
-
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * M1
-    h = (h ^ (h >> np.uint64(27))) * M2
-    return h ^ (h >> np.uint64(31))
-
-
-def normal(word: bytes) -> bytes:
-    return word.strip(OUTER) or word
-
-
-class WordHash(dict):
-    most = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(normal(word)) | 1
-        if len(self) < self.most:
-            self[word] = h
-        return h
+def _letters() -> np.ndarray:
+    """Each byte as it is compared: lower case, blanks and punctuation as a blank."""
+    of = np.arange(256, dtype=np.uint8)
+    of[65:91] += 32
+    of[[0, 9, 10, 11, 12, 13, *PUNCTUATION]] = BLANK
+    return of
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+LETTER = _letters()
 
 
-def coordinates(p: Search, steps: int) -> list[np.ndarray]:
-    """Sampled coordinates of each repetition, ascending, the first always 0."""
-    g = np.random.default_rng(p.seed)
-    return [np.concatenate(([0], np.sort(g.choice(np.arange(1, steps), min(p.samples, steps) - 1, replace=False)))) if steps > 1 else np.array([0]) for _ in range(p.repetitions)]
-
-
-def walk(words: np.ndarray, moves: np.ndarray, at: np.ndarray, start: int, end: int) -> np.ndarray:
-    """Pointers ``at`` after steps ``start`` to ``end``; ``moves`` holds a bit for each step of each word."""
-    for j in range(start, end):
-        at = at + ((moves[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-    return at
-
+@dataclass(frozen=True)
+class Search:
+    percent: int = 20  # largest edit distance, of the item's bytes
+    target: float = 0.99  # chance that some walk of a passage at that distance reads ``coordinates`` unedited letters
+    repetitions: int = 8
+    gap: int = 8  # steps of a walk to one sampled coordinate
+    fewest: int = 7  # coordinates of a walk, unless the item is too short
+    longest: int = 24
+    block_chars: int = 1_000_000
+    stretch: int = 2_000_000  # bytes of documents searched at once
+    seed: int = 17
 
-def letter_plan(p: Search) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each repetition of walks over letters: sampled coordinates and the move at each step on each byte."""
-    g = np.random.default_rng(p.seed + 1)
-    out = []
-    for _ in range(p.letter_repetitions):
-        edges = np.linspace(1, p.letter_steps, p.letter_samples).astype(int)  # one from each stretch, so that no walk samples the same few letters
-        coords = np.concatenate(([0], g.integers(edges[:-1], edges[1:])))
-        out.append((coords, g.integers(0, 2, (p.letter_steps, 256)).astype(np.int32)))
-    return out
+    def coordinates(self, words: int, size: int) -> int:
+        """Sampled coordinates of the walks over an item: as many as letters that must stay unedited."""
+        alive = 1 - (1 - self.target) ** (1 / max(1, words))
+        reach = math.log(alive) / math.log(1 - min(99, max(1, self.percent)) / 100)
+        return max(1, min(self.longest, 1 + (size - 1) // self.gap, max(self.fewest, int(reach))))
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Walks:
+    """Sampled coordinates and moves of each repetition."""
+
+    def __init__(self, p: Search):
+        g = np.random.default_rng(p.seed)
+        self.coords = [np.concatenate(([0], p.gap * np.arange(1, p.longest) - g.integers(0, p.gap, p.longest - 1))) for _ in range(p.repetitions)]
+        self.moves = g.integers(0, 2, (p.repetitions, p.gap * p.longest, 256)).astype(np.int32)
+
+    def on(self, r: int, i: int, text: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pointers at coordinate ``i`` and keys of the coordinates up to it, from those at ``i - 1``."""
+        for j in range(self.coords[r][i - 1] if i else 0, self.coords[r][i]):
+            at = at + self.moves[r][j][text[at]]
+        return at, (key ^ text[at]) * STEP
+
+
+@dataclass
+class Flat:
+    """Texts in one array, a zero before, between and after them."""
+
+    letters: np.ndarray
+    raw: np.ndarray  # where each letter stands in the joined texts
+    starts: np.ndarray  # where each text starts in the joined texts
+    words: np.ndarray  # where words start
+
+
+def flat(texts: list[bytes], pad: int) -> Flat:
+    raw = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", np.uint8)
+    starts = np.cumsum([1] + [len(t) + 1 for t in texts])
+    letters = LETTER[raw]
+    blank = letters == BLANK
+    keep = np.flatnonzero(~(blank & np.concatenate(([False], blank[:-1]))))
+    letters = letters[keep]
+    letters[np.searchsorted(keep, starts - 1, "right") - 1] = 0
+    return Flat(np.concatenate((letters, np.zeros(pad, np.uint8))), keep, starts, word_starts(letters))
+
+
+def word_starts(letters: np.ndarray) -> np.ndarray:
+    apart = (letters == BLANK) | (letters == 0)
+    return (np.flatnonzero(apart[:-1] & ~apart[1:]) + 1).astype(np.int32)
+
+
+def stretches(texts: list[bytes], p: Search, overlap: int) -> Iterator[tuple[int, Flat]]:
+    """Number of the first text in it and letters of each stretch; a longer text is cut at blanks into stretches that share ``overlap`` letters."""
+    pad, at = p.gap * p.longest, 0
+    while at < len(texts):
+        if len(texts[at]) > p.stretch:
+            letters, raw, begin, text = np.zeros(0, np.uint8), np.zeros(0, np.int64), 0, texts[at]
+            while begin < len(text):
+                end = min(len(text), begin + p.stretch)
+                if end < len(text):
+                    end = max(text.rfind(b" ", begin, end), text.rfind(b"\n", begin, end)) + 1 or end
+                f = flat([text[begin:end]], 0)
+                letters = np.concatenate((letters[-overlap:], [BLANK], f.letters[1:-1])).astype(np.uint8)
+                raw = np.concatenate((raw[-overlap:], [begin], f.raw[1:-1] + begin))
+                whole = np.concatenate(([0], letters, np.zeros(pad + 1, np.uint8))).astype(np.uint8)
+                yield at, Flat(whole, np.concatenate(([0], raw, [len(text) + 1])), np.array([1, len(text) + 2]), word_starts(whole[: len(letters) + 2]))
+                begin = end
+            at += 1
+            continue
+        size, upto = 0, at
+        while upto < len(texts) and size + len(texts[upto]) <= p.stretch:
+            size += len(texts[upto])
+            upto += 1
+        yield at, flat(texts[at:upto], pad)
+        at = upto
 
 
-def letters_of(texts: list[list[bytes]], steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, words set apart by blanks and texts by zeros, and where each word starts."""
-    data = b"\0".join(b" ".join(w) for w in texts) + bytes(steps + 1)
-    sizes = np.fromiter((n for w in texts for n in (*map(len, w), *(() if w else (0,)))), np.int64)
-    return np.frombuffer(data, np.uint8), np.cumsum(sizes + 1) - sizes - 1
+def grams(letters: np.ndarray, n: int) -> np.ndarray:
+    """12-bit hash of the ``n`` letters from each position; the last ``n - 1`` positions are left out."""
+    h = np.zeros(max(0, len(letters) - n + 1), np.uint32)
+    for j in range(n):
+        h |= letters[j : j + len(h)].astype(np.uint32) << np.uint32(8 * j)
+    return ((h * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int32)
 
 
-def letter_keys(text: np.ndarray, at: np.ndarray, coords: np.ndarray, moves: np.ndarray, levels: list | None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the walks from ``at``, and which of the walks were not given up at a level."""
-    left, key, before = np.arange(len(at)), np.zeros(len(at), np.uint64), 0
-    at = at.astype(np.int32)
-    for i, c in enumerate(coords):
-        for j in range(before, c):
-            at = at + moves[j][text[at]]
-        key, before = key << np.uint64(7) ^ (key >> np.uint64(57)) ^ text[at], c
-        if levels is not None and i in levels:
-            on = levels[i].has(mix(key))
-            left, key, at = left[on], key[on], at[on]
-    return mix(key), left
+class Members:
+    """Bitmap of a set of keys; a few percent of other keys pass too."""
 
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - min(22, max(14, int(len(keys)).bit_length() + 4)))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[(keys >> self.shift).astype(np.int64)] = True
 
-class Table:
-    """Members of a set of 64-bit keys: a bitmap first, then a binary search."""
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        return self.bits[(keys >> self.shift).astype(np.int64)]
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.bits = np.zeros(1 << 18, bool)
-        self.bits[(self.keys & np.uint64(0x3FFFF)).astype(np.int64)] = True
 
-    def has(self, k: np.ndarray) -> np.ndarray:
-        hit = self.bits[(k & np.uint64(0x3FFFF)).astype(np.int64)]
-        at = np.flatnonzero(hit)
-        pos = np.minimum(np.searchsorted(self.keys, k[at]), len(self.keys) - 1)
-        hit[at] = self.keys[pos] == k[at]
-        return hit
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1, ...`` for ``n[i]`` numbers each."""
+    return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 class Index:
-    """LSH tables over all starts of a block of items, by walk length."""
-
-    def __init__(self, items: list[tuple[int, str]], p: Search):
-        self.p = p
-        hashes = WordHash()
-        self.items = [(i, [normal(w) for w in split(t)]) for i, t in items]
-        self.items = [x for x in self.items if x[1]]
-        self.joined = [b" ".join(w) for _, w in self.items]
-        by_steps: dict[int, list[int]] = {}
-        for k, (_, w) in enumerate(self.items):
-            most = max(min(4, len(w)), 2 * len(w) // 3)
-            by_steps.setdefault(max(x for x in (*p.lengths, p.steps) if x <= max(most, 1)), []).append(k)
-        self.families = []
-        for steps, members in sorted(by_steps.items()):
-            words, item, offset = [], [], []
-            usable = []
-            for k in members:
-                w = [hashes[x] for x in self.items[k][1]]
-                usable += [o + max(1, steps // 2) <= len(w) or o == 0 for o in range(len(w))]
-                words += w
-                item += [k] * len(w)
-                offset += range(len(w))
-            pad = np.array(words + [0] * steps, np.uint64)
-            starts = np.flatnonzero(usable)
-            item, offset = np.array(item), np.array(offset)
-            reps = []
-            for r, coords in enumerate(coordinates(p, steps)):
-                moves = mix(pad ^ mix(np.array([p.seed * 1000 + r + 1], np.uint64)))
-                at, key, levels, before = starts, np.zeros(len(starts), np.uint64), [], 0
-                for c in coords:
-                    at = walk(pad, moves, at, before, c)
-                    key = mix(key * M2 + pad[at])
-                    levels.append(Table(key))
-                    before = c
-                order = np.argsort(key, kind="stable")
-                reps.append((coords, levels, key[order], item[starts][order], offset[starts][order]))
-            self.families.append((steps, reps))
-        self.letters = []
-        text, at = letters_of([w for _, w in self.items], p.letter_steps)
-        item = np.repeat(np.arange(len(self.items)), [len(w) for _, w in self.items])
-        offset = np.concatenate([np.arange(len(w)) for _, w in self.items]) if self.items else item
-        for coords, moves in letter_plan(p) if self.items else ():
-            levels = {i: Table(letter_keys(text, at, coords[: i + 1], moves, None)[0]) for i in range(3, p.letter_samples)}
-            key, _ = letter_keys(text, at, coords, moves, None)
-            order = np.argsort(key, kind="stable")
-            self.letters.append((coords, moves, levels, key[order], item[order], offset[order]))
-
-    def letter_candidates(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """As ``candidates``, from walks over letters."""
-        text, begin = letters_of(texts, self.p.letter_steps)
-        number = np.concatenate([np.arange(len(w)) + before for w, before in zip(texts, np.cumsum([0] + [len(w) + 1 for w in texts]))] or [np.zeros(0, np.int64)])
-        begin = begin[np.repeat([len(w) > 0 for w in texts], [max(1, len(w)) for w in texts])]
-        found = []
-        for coords, moves, levels, keys, item, offset in self.letters:
-            key, left = letter_keys(text, begin, coords, moves, levels)
-            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = hi - lo
-            pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            s = np.repeat(number[left], n)
-            found.append((s - offset[pick], item[pick], s))
-        return found
-
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start words of item-sized windows: (where the item's first word would be, item, start of the walk)."""
-        found = []
-        for steps, reps in self.families:
-            pad = np.concatenate((words, np.zeros(steps, np.uint64)))
-            first = np.zeros(len(words), bool)
-            if reps:
-                first = reps[0][1][0].has(mix(np.zeros(len(words), np.uint64) + words))
-            begin = np.flatnonzero(first)
-            for r, (coords, levels, keys, item, offset) in enumerate(reps):
-                moves = mix(pad ^ mix(np.array([self.p.seed * 1000 + r + 1], np.uint64)))
-                start = at = begin
-                key = mix(pad[at])
-                before = 0
-                for c, level in zip(coords[1:], levels[1:]):
-                    at = walk(pad, moves, at, before, c)
-                    key = mix(key * M2 + pad[at])
-                    on = level.has(key)
-                    start, at, key, before = start[on], at[on], key[on], c
-                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                n = hi - lo
-                pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                s = np.repeat(start, n)
-                found.append((s - offset[pick], item[pick], s))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
+    """The walks of a block of items, by repetition and number of coordinates."""
+
+    def __init__(self, items: list[tuple[int, str]], p: Search = Search()):
+        self.p, self.walks = p, Walks(p)
+        data = [(i, (t or "").encode("utf-8", "surrogatepass")) for i, t in items]
+        f = flat([t for _, t in data], p.gap * p.longest)
+        of = np.searchsorted(f.starts, f.raw, "right") - 1  # the item of each letter
+        inside = f.letters[: len(f.raw)] != 0
+        self.ids, self.texts = [], []
+        item_of_word = of[f.words]
+        origin = np.zeros(len(data), np.int64)
+        number = np.full(len(data), -1)
+        coordinates = np.zeros(len(data), np.int64)
+        for k, (i, _) in enumerate(data):
+            at = np.flatnonzero(inside & (of == k)) if len(data) < 50 else np.arange(*np.searchsorted(of, [k, k + 1]))
+            text = f.letters[at][f.letters[at] != 0].tobytes()
+            mine = np.searchsorted(item_of_word, [k, k + 1])
+            if mine[0] < mine[1]:
+                origin[k], number[k] = f.words[mine[0]], len(self.ids)
+                self.ids.append(i)
+                self.texts.append(text.strip())
+                coordinates[k] = p.coordinates(mine[1] - mine[0], len(self.texts[-1]))
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.most = p.percent * self.size // 100
+        need = coordinates[item_of_word]
+        left = origin[item_of_word] + self.size[number[item_of_word]] - f.words if len(f.words) else need
+        need = np.where(2 * left > p.gap * need, need, 0)  # a walk reads about half as many letters as it has steps
+        self.levels: list[list[tuple]] = []
+        for r in range(p.repetitions):
+            at, key, out = f.words[need > 0], np.zeros(int((need > 0).sum()), np.uint64), []
+            live, item, offset = need[need > 0], number[item_of_word[need > 0]], (f.words - origin[item_of_word])[need > 0]
+            for i in range(int(live.max()) if len(live) else 0):
+                at, key = self.walks.on(r, i, f.letters, at, key)
+                done, on = live == i + 1, live > i + 1
+                ends = None
+                if done.any():
+                    order = np.argsort(key[done], kind="stable")
+                    ends = (Members(key[done]), key[done][order], item[done][order].astype(np.int32), offset[done][order].astype(np.int32))
+                out.append((Members(key[on]) if on.any() and (i >= 2) else None, ends, bool(on.any())))
+                at, key, live, item, offset = at[on], key[on], live[on], item[on], offset[on]
+            self.levels.append(out)
+        self.grams = {n: self.gram_bits(n) for n in (4, 3)}
+
+    def gram_bits(self, n: int) -> np.ndarray:
+        bits = np.zeros((len(self.texts), 512), np.uint8)
+        for k, t in enumerate(self.texts):
+            g = grams(np.frombuffer(t, np.uint8), n)
+            np.bitwise_or.at(bits[k], g >> 3, np.left_shift(1, g & 7).astype(np.uint8))
+        return bits
+
+    def candidates(self, f: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``start, item, at``: the item's first letter would stand at ``start``; the walks met at ``at``."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        for r, levels in enumerate(self.levels):
+            start = at = f.words
+            key = np.zeros(len(at), np.uint64)
+            for i, (members, ends, more) in enumerate(levels):
+                at, key = self.walks.on(r, i, f.letters, at, key)
+                if ends is not None:
+                    has, keys, item, offset = ends
+                    hit = np.flatnonzero(has.has(key))
+                    lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
+                    pick, s = spread(lo, hi - lo), np.repeat(start[hit], hi - lo).astype(np.int64)
+                    found.append((s - offset[pick], item[pick].astype(np.int64), s))
+                if not more:
+                    break
+                if members is not None:
+                    on = np.flatnonzero(members.has(key))
+                    start, at, key = start[on], at[on], key[on]
         return tuple(np.concatenate(x) for x in zip(*found))
 
+    def within(self, f: Flat) -> list[tuple[int, int, int, int]]:
+        """``item, first letter, letter after the last, distance`` of passages within the distance."""
+        start, item, at = self.candidates(f)
+        if not len(start):
+            return []
+        border = np.flatnonzero(f.letters[: len(f.raw)] == 0)
+        low = border[np.searchsorted(border, at, "right") - 1] + 1
+        high = border[np.searchsorted(border, at, "right")]
+        order = np.lexsort((start, low, item))
+        start, item, low, high = start[order], item[order], low[order], high[order]
+        slack = self.most[item]
+        joins = np.concatenate(([False], (item[1:] == item[:-1]) & (low[1:] == low[:-1]) & (start[1:] - start[:-1] <= slack[1:])))
+        group = np.flatnonzero(~joins)
+        last = np.append(group[1:], len(start)) - 1
+        item, slack, low, high = item[group], slack[group], low[group], high[group]
+        a = np.maximum(low, start[group] - slack)
+        b = np.minimum(high, start[last] + self.size[item] + slack)
+        # long stretches are cut where no passage is lost: pieces overlap by the longest one
+        longest = self.size[item] + slack
+        n = np.maximum(1, -(-(b - a - longest) // longest))
+        owner = np.repeat(np.arange(len(a)), n)
+        piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item, a, b = item[owner], a[owner] + piece * longest[owner], np.minimum(b[owner], a[owner] + (piece + 2) * longest[owner])
+        for size in (4, 3):
+            need = self.size[item] - size + 1 - size * self.most[item]
+            h, bits = grams(f.letters, size), self.grams[size]
+            keep = np.ones(len(a), bool)
+            for cut in range(0, len(a), 4096):
+                part = slice(cut, cut + 4096)
+                n = np.maximum(0, b[part] - a[part] - size + 1)
+                g = h[spread(a[part], n)]
+                has = (bits[np.repeat(item[part], n), g >> 3] >> (g & 7).astype(np.uint8)) & 1
+                count = np.concatenate(([0], np.cumsum(has, dtype=np.int64)))
+                ends = np.cumsum(n)
+                keep[part] = count[ends] - count[ends - n] >= need[part]
+            item, a, b = item[keep], a[keep], b[keep]
+        near = np.flatnonzero(least_distances(self.texts, item, f.letters, a, b) <= self.most[item])
+        out = []
+        for k, lo, hi in zip(item[near].tolist(), a[near].tolist(), b[near].tolist()):
+            text = f.letters[lo:hi].tobytes()
+            d, end = best_match(self.texts[k], text)
+            _, back = best_match(self.texts[k][::-1], text[:end][::-1])
+            out.append((k, lo + end - back, lo + end, d))
+        return out
+
 
 def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
     """Smallest edit distance of ``pattern`` to a part of ``text`` and the first end of such a part."""
@@ -257,133 +314,79 @@ def best_match(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-def least_distances(patterns: list[bytes], of: np.ndarray, texts: list[bytes], chunk: int = 2000) -> np.ndarray:
-    """``best_match(patterns[of[i]], texts[i])[0]`` for all i: the same bit vectors in 64-bit blocks, many texts at a time."""
+def least_distances(patterns: list[bytes], of: np.ndarray, letters: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 4000) -> np.ndarray:
+    """``best_match(patterns[of[i]], letters[a[i]:b[i]])[0]`` for all i: the same bit vectors in 64-bit blocks, many at a time."""
     one, top = np.uint64(1), np.uint64(63)
-    sizes = np.array([len(x) for x in patterns], np.int64)
-    blocks_of, out = (sizes[of] + 63) // 64, np.zeros(len(texts), np.int64)
-    order = np.lexsort((np.fromiter(map(len, texts), np.int64, len(texts)), blocks_of))
+    sizes = np.fromiter(map(len, patterns), np.int64, len(patterns))
+    blocks_of, out = (sizes[of] + 63) // 64, np.zeros(len(of), np.int64)
+    order = np.lexsort((b - a, blocks_of))
     for w in np.unique(blocks_of).tolist():
         same = order[blocks_of[order] == w]
         for cut in range(0, len(same), chunk):
             at = same[cut : cut + chunk]
             used, item = np.unique(of[at], return_inverse=True)
-            masks = np.zeros((len(used), 256, w), np.uint64)
+            masks = np.zeros((w, len(used) * 256), np.uint64)
             for k, x in enumerate(used.tolist()):
-                for i, c in enumerate(patterns[x]):
-                    masks[k, c, i >> 6] |= one << np.uint64(i & 63)
-            longest = max(len(texts[i]) for i in at.tolist())
-            text = np.frombuffer(b"".join(texts[i].ljust(longest, b"\0") for i in at.tolist()), np.uint8).reshape(len(at), longest)
+                i = np.arange(sizes[x])
+                np.bitwise_or.at(masks, (i >> 6, k * 256 + np.frombuffer(patterns[x], np.uint8).astype(np.int64)), one << (i & 63).astype(np.uint64))
+            item = item * 256
             pv, mv = [np.full(len(at), ~np.uint64(0)) for _ in range(w)], [np.zeros(len(at), np.uint64) for _ in range(w)]
             score = sizes[of[at]]
             last, best = ((score - 1) & 63).astype(np.uint64), score.copy()
-            for j in range(longest):
-                eqs = masks[item, text[:, j]]
+            start, stop = a[at], b[at]
+            for j in range(int((stop - start).max())):
+                here = start + j
+                letter = item + np.where(here < stop, letters[np.minimum(here, len(letters) - 1)], 0)  # no pattern has a zero
                 p_in = m_in = np.zeros(len(at), np.uint64)
-                for b in range(w):
-                    eq = eqs[:, b]
-                    xv = eq | mv[b]
+                for n in range(w):
+                    eq = masks[n][letter]
+                    xv = eq | mv[n]
                     eq = eq | m_in
-                    xh = (((eq & pv[b]) + pv[b]) ^ pv[b]) | eq
-                    ph, mh = mv[b] | ~(xh | pv[b]), pv[b] & xh
-                    if b == w - 1:
+                    xh = (((eq & pv[n]) + pv[n]) ^ pv[n]) | eq
+                    ph, mh = mv[n] | ~(xh | pv[n]), pv[n] & xh
+                    if n == w - 1:
                         score = score + ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
                     p_out, m_out = ph >> top, mh >> top
                     ph, mh = ph << one | p_in, mh << one | m_in
-                    pv[b], mv[b] = mh | ~(xv | ph), ph & xv
+                    pv[n], mv[n] = mh | ~(xv | ph), ph & xv
                     p_in, m_in = p_out, m_out
                 best = np.minimum(best, score)
             out[at] = best
     return out
 
 
-def grams(text: bytes) -> Counter:
-    return Counter(zip(text, text[1:], text[2:]))
-
-
-def window(n: int, item: list[bytes], first: int, last: int) -> tuple[int, int]:
-    """First word and word after the last of the part, of a text of ``n`` words, that is searched for ``item``."""
-    slack = len(item) // 4 + 3
-    return max(0, first - slack), min(n, last + len(item) + slack)
-
-
-def verify(words: list[bytes], item: list[bytes], first: int, last: int, percent: int) -> tuple[int, int, int]:
-    """Distance, first word and word after the last of the best part for windows that start at words ``first`` to ``last``.
-
-    An edit changes at most three 3-grams: too few common ones rule the window out before the alignment."""
-    a, b = window(len(words), item, first, last)
-    part = [normal(w) for w in words[a:b]]
-    text, pattern = b" ".join(part), b" ".join(item)
-    most = percent * len(pattern) // 100
-    if (grams(pattern) & grams(text)).total() < len(pattern) - 2 - 3 * most:
-        return len(pattern), a, b
-    distance, end = best_match(pattern, text)
-    if distance > most:
-        return distance, a, b
-    _, back = best_match(pattern[::-1], text[:end][::-1])
-    start = end - back
-    begins = np.cumsum([0] + [len(w) + 1 for w in part])
-    return distance, a + int(np.searchsorted(begins, start, "right")) - 1, a + int(np.searchsorted(begins, end, "left"))
-
-
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int64()), ("item_chars", pa.int64())])
+BLANKS = b" \t\n\v\f\r"
+AFTER = re.compile(rb"[^\x20\x09-\x0d]*")
 
 
 def search(texts: list[str | None], index: Index) -> list[list[tuple]]:
-    """Per text: ``(item_id, start, end, distance, item length)`` in code points, of each window within the distance."""
-    p, hashes = index.p, WordHash()
+    """Per text: ``(item_id, start, end, distance, item length)`` of the whole words, in code points, of each passage within the distance."""
     out: list[list[tuple]] = [[] for _ in texts]
-    split_texts = [split(t) for t in texts]
-    at, ends = 0, np.cumsum([len(w) + 1 for w in split_texts])
-    if not len(ends):
-        return out
-    flat = np.zeros(int(ends[-1]), np.uint64)  # a zero after each text: no item has it
-    for w, e in zip(split_texts, ends):
-        flat[e - 1 - len(w) : e - 1] = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-    known: dict[bytes, bytes] = {}
-    plain = [[known.get(x) or known.setdefault(x, normal(x)) for x in w] for w in split_texts]
-    begin, item, start = (np.concatenate(x) for x in zip(index.candidates(flat), *index.letter_candidates(plain)))
-    doc = np.searchsorted(ends, start, "right")
-    order = np.lexsort((begin, item, doc))
-    groups: list[tuple[int, int, int, int]] = []
-    for d, k, b in zip(doc[order].tolist(), item[order].tolist(), begin[order].tolist()):
-        b -= int(ends[d]) - 1 - len(split_texts[d])
-        gap = len(index.items[k][1]) // 4 + 2
-        if groups and groups[-1][:2] == (d, k) and b - groups[-1][3] <= gap:
-            groups[-1] = (d, k, groups[-1][2], b)
-        else:
-            groups.append((d, k, b, b))
-    parts, owner = [], []
-    for g, (d, k, lo, hi) in enumerate(groups):
-        text, chars = b" ".join(plain[d][slice(*window(len(plain[d]), index.items[k][1], lo, hi))]), len(index.joined[k])
-        most = chars * (100 + p.percent) // 100 + 1  # no match is longer, so pieces that overlap by it lose none
-        cuts = range(0, max(1, len(text) - most), most)
-        parts += [text[i : i + 2 * most] for i in cuts]
-        owner += [g] * len(cuts)
-    least = np.full(len(groups), np.iinfo(np.int64).max)
-    if owner:
-        np.minimum.at(least, owner, least_distances(index.joined, np.array([groups[g][1] for g in owner], np.int64), parts))
-    for (d, k, lo, hi), low in zip(groups, least.tolist()):
-        item_id, words = index.items[k]
-        if 100 * low > p.percent * len(index.joined[k]):
-            continue
-        chars = len(b" ".join(words))
-        distance, a, b = verify(split_texts[d], words, lo, hi, p.percent)
-        if 100 * distance <= p.percent * chars:
-            out[d].append((item_id, a, b, distance, chars))
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    for at, f in stretches(data, index.p, 2 * int((index.size + index.most).max(initial=0)) + 8):
+        for k, a, b, d in index.within(f):
+            first, last = int(f.raw[a]), int(f.raw[b - 1])
+            doc = int(np.searchsorted(f.starts, first, "right")) - 1
+            raw, first, last = data[at + doc], first - int(f.starts[doc]), last - int(f.starts[doc])
+            while first and raw[first - 1] not in BLANKS:
+                first -= 1
+            last = AFTER.match(raw, last).end()
+            begin = len(raw[:first].decode("utf-8", "surrogatepass"))
+            out[at + doc].append((index.ids[k], begin, begin + len(raw[first:last].decode("utf-8", "surrogatepass").rstrip()), d, int(index.size[k])))
     for d, hits in enumerate(out):
         if hits:
-            spans = [m.span() for m in WORD.finditer(texts[d])]
             best: dict[tuple, tuple] = {}
-            for item_id, a, b, distance, chars in hits:
-                best[item_id, spans[a][0]] = (item_id, spans[a][0], spans[b - 1][1], distance, chars)
-            out[d] = [best[k] for k in sorted(best)]
+            for h in sorted(hits, key=lambda h: (h[3], h[1], h[2], str(h[0]))):  # the nearest first; what it overlaps of the same item is the same passage
+                if not any(h[0] == g[0] and h[1] < g[2] and g[1] < h[2] for g in best.values()):
+                    best[h[0], h[1]] = h
+            out[d] = sorted(best.values(), key=lambda h: (h[1], h[2], str(h[0])))
     return out
 
 
 def blocks(benchmark: DataFrame, p: Search) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
-    for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id").toLocalIterator():
+    for r in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
         if block and size + len(r.text) > p.block_chars:
             yield block
             block, size = [], 0
@@ -393,35 +396,77 @@ def blocks(benchmark: DataFrame, p: Search) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+_kept: dict[str, Index] = {}
+
+
+def kept(key: str, send, p: Search) -> Index:
+    """The index of a sent block, once a process."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Index(send.value, p)
+    return _kept[key]
+
+
+def finders(docs: DataFrame, benchmark: DataFrame, p: Search):
+    """Per block, its broadcast and a function from texts to their hits."""
+    for block in blocks(benchmark, p):
+        send, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+        yield send, lambda texts, send=send, key=key: search(texts, kept(key, send, p))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, p: Search = Search()) -> DataFrame:
     """Every passage of a document within the edit distance of an item."""
 
-    def one(block: list[tuple[int, str]]) -> DataFrame:
-        send = docs.sparkSession.sparkContext.broadcast(block)
-
+    def one(find) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(send.value, p)
             for whole in batches:
                 for at in range(0, len(whole), 1000):
                     b = whole.slice(at, 1000)
-                    rows = [(d, *h) for d, found in zip(b.column("doc_id").to_pylist(), search(b.column("text").to_pylist(), index)) for h in found]
+                    rows = [(d, *h) for d, found in zip(b.column("doc_id").to_pylist(), find(b.column("text").to_pylist())) for h in found]
                     cols = list(zip(*rows)) or [[] for _ in HITS]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, HITS)], schema=HITS)
 
         return docs.select("doc_id", "text").mapInArrow(run, from_arrow_schema(HITS))
 
-    found = [one(b) for b in blocks(benchmark, p)]
+    last, found = None, []
+    for send, find in finders(docs, benchmark, p):
+        if last is not None:  # one block in memory at a time: the passes before the last one are written
+            found.append(materialise(one(last[1]), "decontaminate-hits"))
+            last[0].destroy()
+        last = send, find
+    if last is not None:
+        found.append(one(last[1]))
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], from_arrow_schema(HITS))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, p: Search = Search()) -> DataFrame:
+    """The rows of ``docs`` without a passage of the benchmark; each row is judged by its own text."""
+
+    def one(rows: DataFrame, find) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, len(whole), 1000):
+                    b = whole.slice(at, 1000)
+                    yield b.filter(pa.array([not found for found in find(b.column(b.schema.names.index("text")).to_pylist())], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    last = None
+    for send, find in finders(docs, benchmark, p):
+        if last is not None:
+            docs = materialise(one(docs, last[1]), "decontaminate-clean")
+            last[0].destroy()
+        last = send, find
+    return one(docs, last[1]) if last is not None else docs
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    bad = hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op2_decontamination": op2_decontamination}
