@@ -8,15 +8,16 @@ stay in step.  At the distance that is searched, an edit comes every few letters
 and two walks part for good after the first ones, so one walk over a whole item
 finds nothing beyond a few percent (README has figures).  The embedding of an
 item-sized window is therefore restarted at every word: the walks of all its
-words, each as long as the item allows.  With ``n`` words, a walk that reads ``l``
-letters meets no edit with probability ``(1 - percent) ** l``; ``l`` is the
-largest for which one of ``n`` such walks does with probability ``target``.
+words, as long as the item's words allow: the more words, the more walks, and the
+less likely need each of them be to meet no edit that parts it from the item's for
+one of them to reach ``target`` at the distance (``Search.coordinates``).
 
 Each repetition has its own random function and samples one coordinate of every
-two of a walk.  Equal samples align an item-sized window of the document with the
-item.  A window whose 4-grams and 3-grams are too few of the item's to be within
-the distance is dropped (an edit changes at most four or three of them, so none is
-lost); the rest is compared exactly, by bit-parallel edit distance with free ends.
+few steps, of every second one at first, so that most walks are given up early.
+Equal samples align an item-sized window of the document with the item.  A window
+whose 4-grams and 3-grams are too few of the item's to be within the distance is
+dropped (an edit changes at most four or three of them, so none is lost); the rest
+is compared exactly, by bit-parallel edit distance with free ends.
 
 The index of a block of ``block_chars`` characters of items is sent to the
 executors and kept once a process.  A benchmark of several blocks takes a pass
@@ -37,6 +38,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -63,19 +65,24 @@ LETTER = _letters()
 @dataclass(frozen=True)
 class Search:
     percent: int = 20  # largest edit distance, of the item's bytes
-    target: float = 0.99  # chance that some walk of a passage at that distance reads ``coordinates`` unedited letters
-    repetitions: int = 8
+    target: float = 0.9  # chance that some walk of a passage at that distance agrees with the item's
+    repetitions: int = 6
     gap: int = 8  # steps of a walk to one sampled coordinate
-    fewest: int = 7  # coordinates of a walk, unless the item is too short
+    fewest: int = 9  # coordinates of a walk, unless the item is too short
     longest: int = 24
     block_chars: int = 1_000_000
-    stretch: int = 2_000_000  # bytes of documents searched at once
+    stretch: int = 6_000_000  # bytes of documents searched at once
     seed: int = 17
 
     def coordinates(self, words: int, size: int) -> int:
-        """Sampled coordinates of the walks over an item: as many as letters that must stay unedited."""
-        alive = 1 - (1 - self.target) ** (1 / max(1, words))
-        reach = math.log(alive) / math.log(1 - min(99, max(1, self.percent)) / 100)
+        """Sampled coordinates of the walks over an item of ``words`` words and ``size`` bytes.
+
+        One coordinate agrees if its letter is unedited and none of the letters skipped before it
+        parts the walks, which an edit does about every third time."""
+        edits = min(99, max(1, self.percent)) / 100
+        agrees = (1 - edits) * (1 - edits / 3) ** (self.gap / 2 - 1)
+        found = 1 - (1 - self.target) ** (1 / (max(1, words) * self.repetitions))  # needed of a single walk
+        reach = math.log(found) / math.log(agrees)
         return max(1, min(self.longest, 1 + (size - 1) // self.gap, max(self.fewest, int(reach))))
 
 
@@ -87,14 +94,15 @@ class Walks:
 
     def __init__(self, p: Search):
         g = np.random.default_rng(p.seed)
-        self.coords = [np.concatenate(([0], p.gap * np.arange(1, p.longest) - g.integers(0, p.gap, p.longest - 1))) for _ in range(p.repetitions)]
-        self.moves = g.integers(0, 2, (p.repetitions, p.gap * p.longest, 256)).astype(np.int32)
+        gaps = np.minimum(p.gap, np.arange(p.longest - 1) // 3 * 3 + 2)  # short ones first, so that most walks are given up after a few steps
+        self.coords = [np.concatenate(([0], np.cumsum(gaps) - g.integers(0, gaps))) for _ in range(p.repetitions)]
+        self.moves = g.integers(0, 2, (p.repetitions, p.gap * p.longest, 256))
 
     def on(self, r: int, i: int, text: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pointers at coordinate ``i`` and keys of the coordinates up to it, from those at ``i - 1``."""
         for j in range(self.coords[r][i - 1] if i else 0, self.coords[r][i]):
-            at = at + self.moves[r][j][text[at]]
-        return at, (key ^ text[at]) * STEP
+            at = at + self.moves[r][j].take(text.take(at))
+        return at, (key ^ text.take(at)) * STEP
 
 
 @dataclass
@@ -120,7 +128,7 @@ def flat(texts: list[bytes], pad: int) -> Flat:
 
 def word_starts(letters: np.ndarray) -> np.ndarray:
     apart = (letters == BLANK) | (letters == 0)
-    return (np.flatnonzero(apart[:-1] & ~apart[1:]) + 1).astype(np.int32)
+    return np.flatnonzero(apart[:-1] & ~apart[1:]) + 1
 
 
 def stretches(texts: list[bytes], p: Search, overlap: int) -> Iterator[tuple[int, Flat]]:
@@ -166,7 +174,7 @@ class Members:
         self.bits[(keys >> self.shift).astype(np.int64)] = True
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        return self.bits[(keys >> self.shift).astype(np.int64)]
+        return self.bits.take((keys >> self.shift).view(np.int64))
 
 
 def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -213,7 +221,7 @@ class Index:
                 if done.any():
                     order = np.argsort(key[done], kind="stable")
                     ends = (Members(key[done]), key[done][order], item[done][order].astype(np.int32), offset[done][order].astype(np.int32))
-                out.append((Members(key[on]) if on.any() and (i >= 2) else None, ends, bool(on.any())))
+                out.append((Members(key[on]) if on.any() and i >= 1 else None, ends, bool(on.any())))
                 at, key, live, item, offset = at[on], key[on], live[on], item[on], offset[on]
             self.levels.append(out)
         self.grams = {n: self.gram_bits(n) for n in (4, 3)}
@@ -228,8 +236,9 @@ class Index:
     def candidates(self, f: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``start, item, at``: the item's first letter would stand at ``start``; the walks met at ``at``."""
         found = [(np.zeros(0, np.int64),) * 3]
-        for r, levels in enumerate(self.levels):
-            start = at = f.words
+        some = 20_000  # words at a time, so that all arrays stay in the processor's cache
+        for words, (r, levels) in product((f.words[i : i + some] for i in range(0, len(f.words), some)), enumerate(self.levels)):
+            start = at = words
             key = np.zeros(len(at), np.uint64)
             for i, (members, ends, more) in enumerate(levels):
                 at, key = self.walks.on(r, i, f.letters, at, key)
@@ -420,8 +429,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, p: Search = Search()) -> DataFra
     def one(find) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, len(whole), 1000):
-                    b = whole.slice(at, 1000)
+                for at in range(0, len(whole), 3000):
+                    b = whole.slice(at, 3000)
                     rows = [(d, *h) for d, found in zip(b.column("doc_id").to_pylist(), find(b.column("text").to_pylist())) for h in found]
                     cols = list(zip(*rows)) or [[] for _ in HITS]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, HITS)], schema=HITS)
@@ -445,8 +454,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, p: Search = Search()) -> DataFr
     def one(rows: DataFrame, find) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, len(whole), 1000):
-                    b = whole.slice(at, 1000)
+                for at in range(0, len(whole), 3000):
+                    b = whole.slice(at, 3000)
                     yield b.filter(pa.array([not found for found in find(b.column(b.schema.names.index("text")).to_pylist())], pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)
