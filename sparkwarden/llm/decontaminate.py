@@ -65,7 +65,7 @@ LETTER = _letters()
 @dataclass(frozen=True)
 class Search:
     percent: int = 20  # largest edit distance, of the item's bytes
-    target: float = 0.9  # chance that some walk of a passage at that distance agrees with the item's
+    target: float = 0.85  # chance that some walk of a passage at that distance agrees with the item's
     repetitions: int = 6
     gap: int = 8  # steps of a walk to one sampled coordinate
     fewest: int = 9  # coordinates of a walk, unless the item is too short
