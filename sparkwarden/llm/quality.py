@@ -7,25 +7,26 @@ are not judged by divergence: below ``min_chars`` code points the class test,
 below ``min_words`` words the word test is left out.
 
 Nulls and odd input: a null text has no words (n_words 0, so base_failed); a
-null lang is a language of its own; repeated rows are judged alike; extra
-columns are ignored; an empty table gives an empty result.
+null lang is a language of its own, the empty one; repeated rows are judged alike,
+each by its own text and lang, with or without doc_id; words of equal count are
+taken in the order of their letters; very long texts are read whole, in memory of
+their own size; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, table
 
-WORD = re.compile("[^\x20\x09-\x0d]+")
+BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")  # the byte classes of class_histogram
 
@@ -80,11 +81,11 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(d, 0.0) / 2))
 
 
-def repeated_words(words: list[str], k: int = 5) -> int:
+def repeated_words(words: list[bytes], k: int = 5) -> int:
     """Words inside any window of ``k`` words that occurs at least twice."""
     if len(words) <= k:
         return 0
-    number: dict[str, int] = {}
+    number: dict[bytes, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
     d = len(number)
     if d == len(words):
@@ -108,12 +109,17 @@ def repeated_words(words: list[str], k: int = 5) -> int:
     return int((np.cumsum(edge)[:-1] > 0).sum())
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int, list[str]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the words."""
+def words_of(text: str) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+``: bytes are split at these six characters only."""
+    return text.encode("utf-8", "surrogatepass").split()
+
+
+def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = text or ""
-    words = WORD.findall(text)
+    words = words_of(text)
     lines = [x for x in text.split("\n") if x.strip(" \t\v\f\r")]
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), words
+    return len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
 REFERENCE = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.float64())])
@@ -125,21 +131,21 @@ def count_references(docs: DataFrame, most: int = 200_000) -> DataFrame:
     A task adds up its batches and sends its counts on when it holds ``most`` words, so the sums are exact."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    def rows(words: dict[str, Counter], classes: dict[str, np.ndarray]) -> pa.RecordBatch:
+    def rows(words: dict[str, Counter[bytes]], classes: dict[str, np.ndarray]) -> pa.RecordBatch:
         out: list[tuple[str, str, float]] = []
         for lang, c in words.items():
-            out += [(lang, w, float(n)) for w, n in c.items()]
+            out += [(lang, w.decode("utf-8", "replace"), float(n)) for w, n in c.items()]
             out.append((lang, " total", float(c.total())))
             out += [(lang, f" {x}", float(n)) for x, n in zip(CLASSES, classes[lang])]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), REFERENCE.types)], schema=REFERENCE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
+        words: dict[str, Counter[bytes]] = {}
         classes: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 text, lang = text or "", lang or ""
-                words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(words_of(text.lower()))
                 classes[lang] = classes.get(lang, 0) + class_histogram(text)
             if sum(map(len, words.values())) >= most:
                 yield rows(words, classes)
@@ -152,11 +158,18 @@ def count_references(docs: DataFrame, most: int = 200_000) -> DataFrame:
 def references(docs: DataFrame, p: Divergence = Divergence()) -> dict[str, tuple[np.ndarray, list[str], np.ndarray]]:
     """Per language: class counts, common words, and their counts with those of all other words last.
 
-    The driver receives ``common_words`` + 8 rows a language."""
+    The driver receives ``common_words`` + 8 rows a language.  The most frequent words are
+    picked in each task, then in each of ``pieces`` hash pieces of a language, then in all
+    of it, so that no task ranks the words of a hot language alone."""
     from pyspark.sql import Window as W
 
-    special = F.col("word").startswith(" ")
-    top = count_references(docs).withColumn("_k", F.row_number().over(W.partitionBy("lang", special).orderBy(F.desc("n"), "word")))
+    special, most, pieces = F.col("word").startswith(" "), max(p.common_words, len(CLASSES) + 1), 32
+
+    def first(rows: DataFrame, *keys: Column) -> DataFrame:
+        order = W.partitionBy("lang", special, *keys).orderBy(F.desc("n"), "word")
+        return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+
+    top = first(first(count_references(docs), F.pmod(F.xxhash64("word"), F.lit(pieces))).drop("_k"))
     out: dict[str, tuple[np.ndarray, list[str], np.ndarray]] = {}
     rows: dict[str, dict[str, float]] = {}
     top = top.where(F.col("_k") <= max(p.common_words, len(CLASSES) + 1))  # tasks cut to this before the shuffle
@@ -172,18 +185,18 @@ def references(docs: DataFrame, p: Divergence = Divergence()) -> dict[str, tuple
 OUT = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64())])
 
 
-def verdict(text: str | None, lang: str | None, ref: dict, p: Divergence) -> tuple[list[int], bool, bool, float, float]:
+def verdict(text: str | None, lang: str | None, ref: dict, p: Divergence) -> tuple[tuple[int, ...], bool, bool, float, float]:
     """Counts, base_failed, kept and both distances of one row."""
-    *counts, words = base_counts(text)
+    counts = base_counts(text)
     failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
     near_class = near_word = 0.0
     if of := ref.get(lang or ""):
         if len(text or "") >= p.min_chars:
             near_class = js_distance(class_histogram(text), of[0])
-        if len(words) >= p.min_words and of[1]:
-            seen = Counter(text.lower().split())
-            hits = [seen[w] for w in of[1]]
-            near_word = js_distance(np.array([*hits, max(0, len(words) - sum(hits))]), of[2])
+        if counts[0] >= p.min_words and of[1]:
+            seen = Counter(words_of(text.lower()))
+            hits = [seen[w.encode()] for w in of[1]]
+            near_word = js_distance(np.array([*hits, max(0, counts[0] - sum(hits))]), of[2])
     kept = not failed and near_class <= p.max_class_distance and near_word <= p.max_word_distance
     return counts, failed, kept, near_class, near_word
 
