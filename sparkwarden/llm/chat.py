@@ -8,30 +8,35 @@ conv_id, ``Fit.conversations`` at most and their rows with turn below
 ``Fit.turns``.  Viterbi decoding then recovers the states; lines of one turn are
 rendered with a role header and without their marker.
 
-A conversation is decoded in blocks of ``Fit.block`` turn numbers, so that a hot
-conv_id spreads over tasks: each block gives the best score from any state
-before it to any state at its end, a scan over these small tables fixes the
-states at the borders, and each block is decoded between its two.  That is the
-Viterbi path of the whole conversation.
+Rows are sorted by conversation, turn and text over the whole table and cut into
+blocks of at most ``Fit.block`` rows and about ``Fit.chars`` characters, so that a
+hot conv_id, or rows without conv_id and turn, spread over tasks.  Each block gives
+the best score from any state before it to any state at its end, a scan over these
+small tables (one row a block) fixes the states at the borders, and each block is
+decoded between its two.  That is the Viterbi path of the whole conversation.
 
 Nulls and odd input: a null text is one empty line; rows without turn come first;
-equal rows count once; a null conv_id is a conversation of its own; the role
-column is read for training only and null roles are left out; very long texts
-are read whole; extra columns are ignored; an empty table gives an empty result.
+rows of one turn are ordered by their first 64 characters, then by a hash of the
+text; equal rows each give their lines; of paths with equal scores one is taken; a null conv_id is a conversation of its
+own; the role column is read for training only and null roles are left out; very
+long texts are read whole, each in one block; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import arrow_map, table
+from .common import arrow_map, materialise, table
 
 ROLES = ("system", "user", "assistant")
 STATES = tuple((r, part) for r in ROLES for part in ("first", "later"))
@@ -44,7 +49,8 @@ WHO = {w: r for r, v in MARKERS.items() for w in v.split()}
 class Fit:
     conversations: int = 4000
     turns: int = 64
-    block: int = 4096
+    block: int = 4096  # rows decoded at once
+    chars: int = 4_000_000  # beyond so many characters a block ends
     prior: float = 50.0  # weight of the prior counts
 
 
@@ -149,10 +155,35 @@ def path(e: np.ndarray, move: np.ndarray, before: int, last: int) -> list[int]:
     return out[::-1]
 
 
-def sorted_lines(t: pa.Table) -> list[tuple[int | None, int, str, bool]]:
+def lines_in_order(t: pa.Table) -> list[tuple[int | None, int, str, bool]]:
     """``turn, line number in its row, line, opens`` in transcript order."""
-    rows = sorted({(r["turn"] is not None, r["turn"] or 0, r["text"] or "") for r in t.select(["turn", "text"]).to_pylist()})
-    return [(turn if known else None, i, x, i == 0) for known, turn, text in rows for i, x in enumerate(lines_of(text))]
+    t = t.sort_by("seq")
+    return [(turn, i, x, i == 0) for turn, text in zip(t.column("turn").to_pylist(), t.column("text").to_pylist()) for i, x in enumerate(lines_of(text))]
+
+
+ROWS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("text", pa.string()), ("block", pa.int64()), ("seq", pa.int64())])
+
+
+def in_blocks(conversations: DataFrame, f: Fit) -> DataFrame:
+    """Rows in transcript order, numbered, with blocks that follow each other in that order."""
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = [F.col("conv_id"), F.col("turn"), F.substring("text", 1, 64), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows_in, chars, seq = 0, 0, 0, 0
+        for b in batches:
+            blocks = []
+            for n in pc.utf8_length(b.column("text")).to_pylist():
+                if rows_in and (rows_in >= f.block or chars + n > f.chars):
+                    block, rows_in, chars = block + 1, 0, 0
+                rows_in, chars = rows_in + 1, chars + n
+                blocks.append(block)
+            part = b.column("part").to_numpy().astype(np.int64) << 33
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ROWS.names[:3]), pa.array(part + blocks, pa.int64()), pa.array(part + np.arange(seq, seq + len(b)), pa.int64())], schema=ROWS)
+            seq += len(b)
+
+    return materialise(rows.withColumn("part", F.spark_partition_id()).mapInArrow(run, from_arrow_schema(ROWS)), "chat-rows")
 
 
 def render(role: str, lines: list[str], begins: bool) -> str:
@@ -171,10 +202,10 @@ TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("segment", pa
 def format_turns(conversations: DataFrame, model: Model, f: Fit = Fit()) -> DataFrame:
     """``conv_id, turn, segment, role, begins, n_lines, rendered``: runs of lines of one recovered turn in each row."""
     S = len(STATES)
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "text", F.coalesce(F.floor(F.col("turn") / f.block), F.lit(-1)).cast("long").alias("block"))
+    rows = in_blocks(conversations, f)
 
     def border(key: tuple, t: pa.Table) -> pa.Table:
-        e = model.scores([(x, o) for _, _, x, o in sorted_lines(t)])
+        e = model.scores([(x, o) for _, _, x, o in lines_in_order(t)])
         best = transfer(e, np.array(model.move))
         return pa.Table.from_arrays([pa.array([k.as_py()], pa.int64()) for k in key] + [pa.array([best.ravel()], BORDER.field("best").type)], schema=BORDER)
 
@@ -197,7 +228,7 @@ def format_turns(conversations: DataFrame, model: Model, f: Fit = Fit()) -> Data
         return pa.Table.from_arrays([pa.array([key[0].as_py()] * n, pa.int64()), pa.array([b for b, _ in got], pa.int64()), pa.array([S, *last[:-1]], pa.int32()), pa.array(last, pa.int32())], schema=ENDS)
 
     def decode(key: tuple, t: pa.Table) -> pa.Table:
-        lines = sorted_lines(t)
+        lines = lines_in_order(t)
         move = np.array(model.move)
         states = path(model.scores([(x, o) for _, _, x, o in lines]), move, t.column("before")[0].as_py(), t.column("last")[0].as_py())
         out: list[list] = []
@@ -212,7 +243,7 @@ def format_turns(conversations: DataFrame, model: Model, f: Fit = Fit()) -> Data
         return pa.Table.from_arrays([pa.array(c, g.type) for c, g in zip(cols, TURNS)], schema=TURNS)
 
     ends = rows.groupBy("conv_id", "block").applyInArrow(border, from_arrow_schema(BORDER)).groupBy("conv_id").applyInArrow(scan, from_arrow_schema(ENDS))
-    ends = ends.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "before", "last")
+    ends = materialise(ends, "chat-ends").select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "before", "last")
     both = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))).drop("_c", "_b")
     return both.groupBy("conv_id", "block").applyInArrow(decode, from_arrow_schema(TURNS))
 

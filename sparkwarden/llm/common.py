@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}  # temporary folders of local sessions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session uses a temporary folder and a cluster
-    its warehouse, never a folder of one machine."""
+    Where it is unset, a session of this machine alone gets a temporary folder; on
+    a cluster no folder can be guessed, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            root = f"file://{tempfile.mkdtemp(prefix='sparkwarden-')}"
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='sparkwarden-')}")
     return root
 
 
@@ -69,32 +68,43 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
-def connected_components(edges: DataFrame, name: str, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """Smallest node reachable from each node of ``edges(a, b)``: ``(node, root)``.
 
     Star contraction: each node hooks onto the smallest neighbour, then parents
-    are shortcut; every round is a written table, so it survives lost executors
-    and the number of rounds is logarithmic in a component's diameter."""
+    are shortcut; every round is a written table, so it survives lost executors.
+    Each round brings some node closer to its root, so the loop ends by itself; the
+    number of rounds is about logarithmic in a component's diameter.  Smallest
+    neighbours are partial sums before any shuffle, and a hub's edges are joined
+    with its own in ``SPLIT`` hash pieces, so that no task holds them alone."""
     e = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
-    label = None
-    for i in range(rounds):
+    i = 0
+    while True:
         both = e.union(e.select("b", "a"))
         # large star: strictly larger neighbours are tied to the smallest neighbour
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b")
+        large = in_pieces(both, low, "a").where("b > a").select(F.col("m").alias("a"), "b")
         large = large.where("a <> b").distinct()
         # small star: smaller neighbours and the node itself are tied to the smallest
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b")
+        small = in_pieces(large, low, "b")
         small = small.select(F.col("m").alias("x"), F.col("a").alias("y")).union(small.select(F.col("m").alias("x"), F.col("b").alias("y")))
-        new = materialise(small.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"{name}-round{i}")
+        e = materialise(small.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"{name}-round{i}")
+        i += 1
         # done when every node hangs off one root that is itself no child
-        roots = new.groupBy("b").agg(F.count("*").alias("n"))
-        open_ = new.join(roots.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() or roots.where("n > 1").limit(1).count()
-        e = new
-        if not open_:
-            label = new
-            break
-    if label is None:
-        raise RuntimeError("components did not settle")
-    return label.select(F.col("b").alias("node"), F.col("a").alias("root")).union(label.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        parents = e.groupBy("b").agg(F.count("*").alias("n"))
+        if parents.where("n > 1").limit(1).count():
+            continue
+        if not e.select("a").distinct().join(parents.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count():
+            return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+SPLIT = 16
+
+
+def in_pieces(edges: DataFrame, low: DataFrame, key: str) -> DataFrame:
+    """``edges`` joined with ``low`` on ``key``, the edges of one key in ``SPLIT`` pieces by their other end."""
+    other = "b" if key == "a" else "a"
+    left = edges.withColumn("_s", F.pmod(F.xxhash64(other), F.lit(SPLIT)))
+    right = low.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)).cast("array<bigint>")))
+    return left.join(right, [key, "_s"]).drop("_s")

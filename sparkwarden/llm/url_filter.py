@@ -3,13 +3,17 @@
 Trust spreads from hosts whose pages the rules allow along host edges
 (personalised PageRank), distrust from blocked hosts along the reversed edges;
 a host is blocked when its distrust exceeds both a floor and its trust.  Seeds
-come from the rules alone, unless the caller gives ``blocked_labels``.  Host
-edges are absolute hyperlinks plus the tie between a host and its parent host
+come from the rules and from a table of the caller's, if there is one.  Host
+edges are hyperlinks that name a host, absolute or without a scheme (``//host/``),
+quoted in any way or not at all, plus the tie between a host and its parent host
 (``www.a.example.com`` - ``a.example.com``).  DataFrame functions only.
 
 Nulls and odd input: a null url, or one without ``://``, has an empty host and
-path, fits no rule and is allowed; null html has no links; repeated rows are
-judged alike; extra columns are ignored; an empty table gives an empty result.
+path, fits no rule and is allowed; null html has no links; the longest rule wins
+and no two rules that fit one url are equally long; trust wins a tie with
+distrust; repeated rows are judged alike, and their links count as often; very
+long html is read whole; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r'href\s*=\s*"[A-Za-z][A-Za-z0-9+.-]*://([^/?#"]*)'
+LINK = r"""[Hh][Rr][Ee][Ff][ \t\n\r\f]*=[ \t\n\r\f]*["']?[ \t\n\r\f]*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'<> \t\n\r\f]*)"""
 
 
 @dataclass(frozen=True)
@@ -45,7 +49,6 @@ class Propagation:
     iterations: int = 12
     seed_share: float = 0.5  # a host seeds when so large a share of its pages is judged by a rule
     floor: float = 0.05
-    blocked_labels: tuple[str, ...] = ()  # given by the caller: hosts with such a label seed distrust in full
     parent_labels: int = 3  # parents with fewer labels tie no hosts together
     broadcast_hosts: int = 200_000  # host verdicts beyond this many rows are joined by shuffle
 
@@ -85,13 +88,13 @@ def host_edges(pages: DataFrame, p: Propagation) -> DataFrame:
     return links.union(ties).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def host_scores(pages: DataFrame, p: Propagation = Propagation()) -> DataFrame:
-    """``host, trust, distrust`` from pages with host, html and rule_verdict."""
+def host_scores(pages: DataFrame, p: Propagation = Propagation(), given: DataFrame | None = None) -> DataFrame:
+    """``host, trust, distrust`` from pages with host, html and rule_verdict, and seeds ``given(host, trust, distrust)``."""
     share = lambda v: F.count_if(F.col("rule_verdict") == v) / F.count("*")
     seeds = pages.where("host <> ''").groupBy("host").agg(share("allow").alias("t0"), share("block").alias("d0"))
-    listed = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, p.blocked_labels))) if p.blocked_labels else F.lit(False)
     seeds = seeds.select("host", *[F.when(F.col(c) >= p.seed_share, F.col(c)).otherwise(0.0).alias(c) for c in ("t0", "d0")])
-    seeds = seeds.select("host", F.when(listed, 0.0).otherwise(F.col("t0")).alias("t0"), F.when(listed, 1.0).otherwise(F.col("d0")).alias("d0"))
+    if given is not None:
+        seeds = seeds.union(given.select(F.translate("host", UPPER, LOWER), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("trust", "distrust")]).where("host is not null"))
     edges = materialise(host_edges(pages, p), "hosts-edges")
     out = edges.groupBy(F.col("src").alias("from")).agg(F.sum("w").alias("total"))
     into = edges.groupBy(F.col("dst").alias("from")).agg(F.sum("w").alias("total"))
@@ -111,11 +114,11 @@ def host_scores(pages: DataFrame, p: Propagation = Propagation()) -> DataFrame:
     return rank.select("host", F.round(F.col("t") / scale, 9).alias("trust"), F.round(F.col("d") / scale, 9).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, p: Propagation = Propagation()) -> DataFrame:
-    """``page_id, host, path, rule, verdict, trust, distrust`` for every row."""
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, p: Propagation = Propagation(), seeds: DataFrame | None = None) -> DataFrame:
+    """``page_id, host, path, rule, verdict, trust, distrust`` for every row; ``seeds(host, trust, distrust)`` adds to those of the rules."""
     name, verdict = rule_columns(rules)
     judged = with_host_path(pages.select("page_id", "url", "html")).withColumn("rule", name).withColumn("rule_verdict", verdict)
-    scores = materialise(host_scores(judged, p), "hosts-scores")
+    scores = materialise(host_scores(judged, p, seeds), "hosts-scores")
     if scores.count() <= p.broadcast_hosts:
         scores = F.broadcast(scores)
     both = judged.drop("html", "url").join(scores, "host", "left")
@@ -142,9 +145,8 @@ def oracle(rules: tuple[Rule, ...] = RULES, p: Propagation = Propagation()) -> s
     c as (select page_id, html, translate(raw, '{UPPER}', '{LOWER}') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from b),
     judged as materialized (select *, {pick("name")} as rule, {pick("verdict")} as rule_verdict from c),
     shares as (select host, count(*) filter (rule_verdict = 'allow') / count(*) as t, count(*) filter (rule_verdict = 'block') / count(*) as d from judged where host <> '' group by host),
-    seeds as (select host, case when not listed and t >= {p.seed_share} then t else 0 end as t0, case when listed then 1 when d >= {p.seed_share} then d else 0 end as d0
-        from (select *, list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in p.blocked_labels)}]::varchar[]) as listed from shares)),
-    links as (select host as src, translate(unnest(regexp_extract_all(html, '{LINK}', 1)), '{UPPER}', '{LOWER}') as dst from judged),
+    seeds as (select host, case when t >= {p.seed_share} then t else 0 end as t0, case when d >= {p.seed_share} then d else 0 end as d0 from shares),
+    links as (select host as src, translate(unnest(regexp_extract_all(html, '{LINK.replace("'", "''")}', 1)), '{UPPER}', '{LOWER}') as dst from judged),
     parent as (select distinct host as src, regexp_replace(host, '^[^.]*\\.', '') as dst from judged where len(string_split(host, '.')) > {p.parent_labels}),
     edges as materialized (select src, dst, count(*)::double as w from (select * from links union all select * from parent union all select dst, src from parent) where src <> dst and src <> '' and dst <> '' group by all),
     steps as materialized (select src as "from", dst as "to", w / sum(w) over (partition by src) as wt, 0.0::double as wd from edges union all select dst, src, 0.0::double, w / sum(w) over (partition by dst) from edges),

@@ -61,5 +61,17 @@ def test_edge_cases(spark):
     m = C.learn(spark.createDataFrame([], SCHEMA), C.Fit())
     rows = [(1, 0, "user", None), (1, 0, "user", None), (None, None, None, "x"), (2, 5, "user", ""), (3, 0, "odd", "y\n" * 20_000)]
     got = C.format_turns(spark.createDataFrame(rows, SCHEMA).withColumn("block", F.lit("clash")), m).collect()
-    assert sorted(str(r.conv_id) for r in got if r.segment == 0) == ["1", "2", "3", "None"] and sum(r.n_lines for r in got if r.conv_id == 3) == 20_001
+    assert sorted(str(r.conv_id) for r in got if r.segment == 0) == ["1", "1", "2", "3", "None"] and sum(r.n_lines for r in got if r.conv_id == 3) == 20_001
     assert C.format_turns(spark.createDataFrame([], SCHEMA), m).collect() == []
+
+
+def test_equal_rows_and_rows_without_conversation_or_turn_are_all_kept(spark):
+    m = C.learn(spark.createDataFrame([], SCHEMA), C.Fit())
+    rows = [(1, None, None, "ok")] * 40 + [(None, None, None, "ok")] * 300 + [(None, None, None, f"User: line {i % 9}\nmore") for i in range(200)] + [(None, 3, None, None)] * 20
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    whole = C.format_turns(df, m).collect()
+    cut = C.format_turns(df, m, C.Fit(block=16, chars=200)).collect()
+    assert sum(r.n_lines for r in whole) == 40 + 300 + 400 + 20
+    key = lambda r: (str(r.conv_id), str(r.turn), r.segment, r.n_lines, r.rendered.split("\n", 1)[-1])  # noqa: E731  roles of equal lines are a tie
+    assert sorted(map(key, whole)) == sorted(map(key, cut))
+    assert len(C.in_blocks(df, C.Fit(block=16, chars=200)).select("conv_id", "block").distinct().collect()) > 30

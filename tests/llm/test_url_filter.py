@@ -52,5 +52,21 @@ def test_no_host_is_blocked_by_a_built_in_name(spark):
     names = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm", "other-spam")
     df = spark.createDataFrame([(i, f"http://www.{x}.example.com/en/", "<a href='/x'>") for i, x in enumerate(names)], SCHEMA)
     assert {r.verdict for r in U.judge(df).collect()} == {"allow"}
-    given = U.judge(df, p=U.Propagation(blocked_labels=("other-spam",))).collect()
+    seeds = spark.createDataFrame([("www.OTHER-spam.example.com", None, 1.0), (None, 1.0, 1.0)], "host string, trust double, distrust double")
+    given = U.judge(df, seeds=seeds).collect()
     assert {r.page_id for r in given if r.verdict == "block"} == {6}
+
+
+def test_a_host_is_blocked_through_edges_alone(spark):
+    """No rule fits the middle hosts; distrust comes two links back from a blocked one, however the links are written."""
+    for link in ("<a href=\"http://bad.net/x\">", "<A HREF = 'https://BAD.net'>", "<a href=//bad.net/x>", "<a href=' //bad.net?q'>"):
+        rows = [(1, "http://bad.net/", None), (2, "http://one.com/", link), (3, "http://two.com/", '<a href="//one.com/">'), (4, "http://other.com/", "<a href='/bad.net/'> <a href='x//bad.net'>")]
+        got = {k[0]: v for k, v in judged(spark, rows).items()}
+        assert [got[i].verdict for i in (1, 2, 3, 4)] == ["block", "block", "block", "allow"], link
+        assert got[2].rule is None and got[2].distrust > got[3].distrust > 0.05
+
+
+def test_very_long_html_and_a_hot_host(spark):
+    rows = [(1, "http://hub.com/", "".join(f'<a href="http://h{i}.com/">x</a>' for i in range(20_000)))] + [(i + 2, f"http://hub.com/{i}", None) for i in range(500)] + [(900, "http://h7.com/", "<a href='//bad.net'>"), (901, "http://bad.net/", "")]
+    got = {k[0]: v for k, v in judged(spark, rows).items()}
+    assert got[900].verdict == "block" and len(got) == 503 and len({got[i].verdict for i in range(1, 502)}) == 1
