@@ -50,6 +50,20 @@ class ScanResult:
     def tally(self) -> dict[str, int]:
         return {r.severity: r.n for r in filters.tally(self.findings).collect()}
 
+    def worst_severity(self) -> str | None:
+        return filters.worst(self.disposed.where("disposition = 'kept'"))
+
+    def close(self) -> None:
+        """Let go of what ``scan`` keeps between reports."""
+        self.disposed.unpersist()
+        self.files.unpersist()
+
+    def __enter__(self) -> ScanResult:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def failed(self) -> bool:
         return filters.fails(self.findings, self.config.fail_on)
 
@@ -90,8 +104,8 @@ def scan_files(spark: SparkSession, files: DataFrame, config: ScanConfig = ScanC
     loaded, active = active_rules(config)
     if config.match_engine == "native":
         safe = [r for r in active if r.engine == "native"]
-        rest = [r for r in active if r.engine != "native"]
-        raw = with_native(files, safe, config).unionByName(match.raw_findings(files, rest, config))
+        passed = native.may_match([r for r in active if r.engine != "native"], config.entropy)
+        raw = with_native(files.where(~passed), safe, config).unionByName(match.raw_findings(files.where(passed), active, config))
     else:
         raw = match.raw_findings(files, active, config)
     findings = match.with_rule_texts(raw, active, config)
@@ -102,8 +116,9 @@ def scan_files(spark: SparkSession, files: DataFrame, config: ScanConfig = ScanC
 def with_native(files: DataFrame, rules: list[Rule], config: ScanConfig) -> DataFrame:
     """Findings of the expression engine in the columns of the pass.
 
-    Secrets are masked within each engine; use it for rules of one engine where
-    files hold credentials that both would report."""
+    Secrets of a file are masked in all its findings, so a file must go to one
+    engine as a whole: ``scan_files`` sends those that the other rules or the
+    entropy search may match to the pass, with all rules."""
     x = native.findings(files, rules)
     comments = suppress.table(files.where("reason = ''").withColumn("path", F.col("relpath")))
     x = suppress.apply(x, comments) if config.suppressions else x.withColumn("suppressed", F.lit(False)).withColumn("suppressed_by", F.lit(""))
@@ -114,7 +129,9 @@ def scan(spark: SparkSession, path: str | Path = ".", *, config: str | Path | No
     """Scan a tree; ``diff`` and ``staged`` limit it to changed files, ``audit`` reports suppressed findings."""
     merged = configs.load(path, config).merge(**options).check()
     paths = git.changed(path, diff, staged) if diff is not None or staged else None
-    return scan_files(spark, sources.read_tree(spark, merged, paths).persist(), merged, audit)
+    result = scan_files(spark, sources.read_tree(spark, merged, paths).persist(), merged, audit)
+    result.disposed = result.disposed.persist()  # stats, findings and tally share one matching pass; ``close`` lets go
+    return result
 
 
 def scan_table(spark: SparkSession, table: DataFrame, path: Column, text: Column, config: ScanConfig = ScanConfig()) -> ScanResult:

@@ -67,20 +67,20 @@ def _emit(body: str, out: str | None) -> None:
 
 
 def scan(a: argparse.Namespace) -> int:
-    r = _run_scan(a)
-    if a.write_baseline:
-        reports.put(a.write_baseline, r.render("baseline"))
-        return 0
-    _emit(r.render(a.format), a.out)
-    if a.emit_cache:
-        r.write_cache()
-    return int(r.failed())
+    with _run_scan(a) as r:
+        if a.write_baseline:
+            reports.put(a.write_baseline, r.render("baseline"))
+            return 0
+        _emit(r.render(a.format), a.out)
+        if a.emit_cache:
+            r.write_cache()
+        return int(r.failed())
 
 
 def sync(a: argparse.Namespace) -> int:
-    r = _run_scan(a)
-    print(r.write_cache(merge=not a.replace), file=sys.stderr)
-    return int(r.failed())
+    with _run_scan(a) as r:
+        print(r.write_cache(merge=not a.replace), file=sys.stderr)
+        return int(r.failed())
 
 
 INIT = {
@@ -115,6 +115,10 @@ def rules(a: argparse.Namespace) -> int:
         bad = [t for t in tests if t[2] != t[3]]
         for rule, example, want, _ in bad:
             print(f"{rule}: should {'' if want else 'not '}match: {example}", file=sys.stderr)
+        missing = [(r.id, k) for r in every for k in ("cwe", "remediation", "description") if not getattr(r, k)]
+        for rule, what in missing if not bad else ():
+            print(f"warning: {rule}: no {what}", file=sys.stderr)
+        print(f"{len({r.category for r in every})} categories, {len({x for r in every for x in r.languages})} languages, {len(missing)} warnings")
         print(f"{len(every)} rules, {len(tests)} examples over {len({t[0] for t in tests})} rules, {sum(not r.prefilters for r in every)} without prefilter, {len(bad)} failures")
         return 2 if bad else 0
     if a.what == "show":
@@ -123,10 +127,19 @@ def rules(a: argparse.Namespace) -> int:
             raise ScanError(f"there is no rule {a.id}")
     every = [r for r in every if (not a.category or r.category == a.category) and (not a.language or a.language in r.languages) and (not a.severity or r.severity == a.severity)]
     every.sort(key=lambda r: (SEVERITIES.index(r.severity), r.id))
-    print(json.dumps([asdict(r) for r in every], indent=2) if a.json or a.what == "show" else "\n".join(f"{r.severity:<9}{r.id:<40}{r.title}" for r in every))
+    print(json.dumps([asdict(r) for r in every], indent=2) if a.json or a.what == "show" else rule_table(every))
     return 0
 
 
+def rule_table(every: list[rulesets.Rule]) -> str:
+    """Columns as wide as what they hold, and a line with the number of rules."""
+    head = ("severity", "rule", "languages", "cwe", "title")
+    rows = [head, *((r.severity, r.id, ", ".join(r.languages), r.cwe or "-", r.title) for r in every)]
+    width = [max(len(row[i]) for row in rows) for i in range(len(head) - 1)]
+    lines = ["  ".join([*(c.ljust(w) for c, w in zip(row, width)), row[-1]]) for row in rows]
+    return "\n".join([lines[0], "  ".join("-" * w for w in (*width, 5)), *lines[1:], f"{len(every)} rules"])
+
+
 def contract() -> dict:
     every = rulesets.load()
     return {

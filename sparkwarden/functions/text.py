@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEPARATOR = "\u241f"  # fixed value: stands between the parts of a fingerprint
+HIDDEN = "………"  # fixed value: stands for a secret of at most eight characters
 MAX_MATCH = 240
 CONTEXT = 2
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
@@ -61,7 +62,7 @@ def context(all_lines: Column, line: Column) -> Column:
 
 
 def mask(value: Column) -> Column:
-    return F.when(F.length(value) <= 8, F.repeat(F.lit("…"), 8)).otherwise(F.concat(F.substring(value, 1, 4), F.lit("…[redacted, "), F.length(value).cast("string"), F.lit(" chars]")))
+    return F.when(F.length(value) <= 8, F.lit(HIDDEN)).otherwise(F.concat(F.substring(value, 1, 4), F.lit("…[redacted, "), F.length(value).cast("string"), F.lit(" chars]")))
 
 
 def secret_span(match: Column) -> Column:
@@ -106,7 +107,7 @@ def repeat_share(value: Column) -> Column:
 
 
 def mask_text(value: str) -> str:
-    return "…" * 8 if len(value) <= 8 else f"{value[:4]}…[redacted, {len(value)} chars]"
+    return HIDDEN if len(value) <= 8 else f"{value[:4]}…[redacted, {len(value)} chars]"
 
 
 def secret_span_text(match: str) -> str:
@@ -132,20 +133,132 @@ def entropy_text(value: str) -> float:
 
 # ---- languages -------------------------------------------------------------
 
-# Which suffix or file name has which language.
-SUFFIXES = {
-    "python": ".py .pyi .pyw", "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .tsx .mts .cts", "php": ".php .phtml .php5 .php7 .inc", "ruby": ".rb .erb .rake", "go": ".go",
-    "java": ".java .jsp", "kotlin": ".kt .kts", "csharp": ".cs .cshtml .razor", "rust": ".rs", "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp .hh", "swift": ".swift", "scala": ".scala",
-    "elixir": ".ex .exs", "perl": ".pl .pm", "shell": ".sh .bash .zsh .ksh", "powershell": ".ps1 .psm1", "sql": ".sql", "html": ".html .htm .vue .svelte .twig .blade .jinja .j2 .hbs",
-    "css": ".css .scss .sass .less", "yaml": ".yml .yaml", "json": ".json", "toml": ".toml", "xml": ".xml .plist", "terraform": ".tf .tfvars", "hcl": ".hcl", "env": ".env",
-    "ini": ".ini .cfg .conf .properties", "gradle": ".gradle", "markdown": ".md .mdx .rst", "text": ".txt .tpl .tmpl", "pem": ".pem .key .crt .p12 .pfx",
-}
-NAMES = {
-    "dockerfile": "dockerfile containerfile", "make": "makefile", "groovy": "jenkinsfile", "ruby": "gemfile rakefile", "text": "procfile", "env": ".env", "ini": ".npmrc .netrc",
-    "apache": ".htaccess", "nginx": "nginx.conf", "pem": "id_rsa id_dsa id_ecdsa id_ed25519",
-}
-BY_SUFFIX = {s: k for k, v in SUFFIXES.items() for s in v.split()}
-BY_NAME = {s: k for k, v in NAMES.items() for s in v.split()}
+# Which suffix or file name has which language, and which lexer shows it.
+BY_SUFFIX = {
+    ".py": "python",
+    ".pyi": "python",
+    ".pyw": "python",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".mts": "typescript",
+    ".cts": "typescript",
+    ".php": "php",
+    ".phtml": "php",
+    ".php5": "php",
+    ".php7": "php",
+    ".inc": "php",
+    ".rb": "ruby",
+    ".erb": "ruby",
+    ".rake": "ruby",
+    ".go": "go",
+    ".java": "java",
+    ".jsp": "java",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".cs": "csharp",
+    ".cshtml": "csharp",
+    ".razor": "csharp",
+    ".rs": "rust",
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".hh": "cpp",
+    ".swift": "swift",
+    ".scala": "scala",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".pl": "perl",
+    ".pm": "perl",
+    ".sh": "shell",
+    ".bash": "shell",
+    ".zsh": "shell",
+    ".ksh": "shell",
+    ".ps1": "powershell",
+    ".psm1": "powershell",
+    ".sql": "sql",
+    ".html": "html",
+    ".htm": "html",
+    ".vue": "html",
+    ".svelte": "html",
+    ".twig": "html",
+    ".blade": "html",
+    ".jinja": "html",
+    ".j2": "html",
+    ".hbs": "html",
+    ".css": "css",
+    ".scss": "css",
+    ".sass": "css",
+    ".less": "css",
+    ".yml": "yaml",
+    ".yaml": "yaml",
+    ".json": "json",
+    ".toml": "toml",
+    ".xml": "xml",
+    ".plist": "xml",
+    ".tf": "terraform",
+    ".tfvars": "terraform",
+    ".hcl": "hcl",
+    ".env": "env",
+    ".ini": "ini",
+    ".cfg": "ini",
+    ".conf": "ini",
+    ".properties": "ini",
+    ".gradle": "gradle",
+    ".md": "markdown",
+    ".mdx": "markdown",
+    ".rst": "markdown",
+    ".txt": "text",
+    ".tpl": "text",
+    ".tmpl": "text",
+    ".pem": "pem",
+    ".key": "pem",
+    ".crt": "pem",
+    ".p12": "pem",
+    ".pfx": "pem",
+}
+BY_NAME = {
+    "dockerfile": "dockerfile",
+    "containerfile": "dockerfile",
+    "makefile": "make",
+    "jenkinsfile": "groovy",
+    "gemfile": "ruby",
+    "rakefile": "ruby",
+    "procfile": "text",
+    ".env": "env",
+    ".npmrc": "ini",
+    ".netrc": "ini",
+    ".htaccess": "apache",
+    "nginx.conf": "nginx",
+    "id_rsa": "pem",
+    "id_dsa": "pem",
+    "id_ecdsa": "pem",
+    "id_ed25519": "pem",
+}
+LEXERS = {
+    "javascript": "javascript",
+    "typescript": "typescript",
+    "python": "python",
+    "php": "php",
+    "ruby": "ruby",
+    "go": "go",
+    "java": "java",
+    "csharp": "csharp",
+    "rust": "rust",
+    "shell": "bash",
+    "sql": "sql",
+    "yaml": "yaml",
+    "json": "json",
+    "html": "html",
+    "terraform": "terraform",
+    "dockerfile": "docker",
+}
 
 
 def language_of(path: str) -> str:

@@ -16,6 +16,7 @@ NAME = (
     r"(?:^|[_.\-])(?:secret|passwd|password|passphrase|token|api[_.\-]?key|apikey|access[_.\-]?key|secret[_.\-]?key|private[_.\-]?key|client[_.\-]?secret|auth|credential|bearer|"
     r"session[_.\-]?key|encryption[_.\-]?key|signing[_.\-]?key|salt|master[_.\-]?key|refresh[_.\-]?token|webhook[_.\-]?secret)(?:$|[_.\-])"
 )
+ANY_NAME = "secret|passwd|password|passphrase|token|api|access|private|client|auth|credential|bearer|session|encryption|signing|salt|master|refresh|webhook"  # every name above holds one of them
 PLACEHOLDER = (
     r"^(?:x{4,}|\.{3,}|-{4,}|(?:your|my|the|some|test|demo|sample|example|placeholder|dummy|fake|change|insert|replace|enter|todo|fixme|redacted|removed|hidden|none|null|nil|undefined|empty|default)[_.\-]?.*|"
     r".*(?:example|placeholder|changeme|change[_.\-]?me|yourkeyhere|xxxxx|notreal|dummy|redacted|<.*>))$"

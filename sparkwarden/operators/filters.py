@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.severity import CONFIDENCES, SEVERITIES, at_least, rank_column
 from ..sources.config import ScanConfig
 
-MAX_BROADCAST = 500_000  # baseline entries beyond this many are joined by shuffle
-
 
 def disposed(findings: DataFrame, baseline: DataFrame | None, config: ScanConfig, audit: bool = False) -> DataFrame:
     """Adds ``disposition``: the first of suppressed, baselined, filtered that holds, else kept.
@@ -19,8 +17,7 @@ def disposed(findings: DataFrame, baseline: DataFrame | None, config: ScanConfig
     known: Column = F.lit(False)
     if baseline is not None:
         marks = baseline.select("fingerprint").distinct().withColumn("known", F.lit(True))
-        small = marks.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-        x = x.join(F.broadcast(marks) if small else marks, "fingerprint", "left")
+        x = x.join(marks, "fingerprint", "left")  # broadcast or not by its size, which the planner knows
         known = F.coalesce("known", F.lit(False))
     low = ~at_least(F.col("severity"), config.min_severity) | ~at_least(F.col("confidence"), config.min_confidence, CONFIDENCES)
     hidden = F.col("suppressed") if not audit else F.lit(False)
@@ -47,6 +44,11 @@ def tally(findings: DataFrame) -> DataFrame:
     return every.join(findings.groupBy("severity").agg(F.count("*").alias("n")), "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"), "rank").orderBy("rank").drop("rank")
 
 
+def worst(findings: DataFrame) -> str | None:
+    """The gravest severity there is, without sorting the findings."""
+    return findings.agg(F.min_by("severity", rank_column(F.col("severity")))).first()[0]
+
+
 def fails(findings: DataFrame, fail_on: str) -> bool:
     return fail_on != "never" and not findings.where(at_least(F.col("severity"), fail_on)).limit(1).isEmpty()
 

@@ -7,6 +7,8 @@ are joined afterwards from the broadcast catalogue (at most ``MAX_RULES`` rows).
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +23,7 @@ from ..sources.rules import ENTROPY_RULE, Rule, as_table
 from . import entropy, suppress
 
 MAX_RULES = 20_000
+FEED = re.compile("\n")
 S, I, L = pa.string(), pa.int32(), pa.list_(pa.string())
 RAW = pa.schema(
     [("rule_id", S), ("path", S), ("language", S), ("line", I), ("column", I), ("match", S), ("snippet", S), ("context", L), ("occurrence", I), ("fingerprint", S), ("suppressed", pa.bool_()), ("suppressed_by", S), ("name", S), ("bits", pa.float64()), ("size", I)]
@@ -64,6 +67,7 @@ class Matcher:
     def hits(self, names: tuple[str, ...], language: str, body: str) -> list[Hit]:
         """Findings of one file, in order of emission, masked, one a rule and line."""
         low, rows = body.lower(), body.splitlines()
+        feeds: list[int] | None = None  # line feeds of the file, looked for once and only if something matches
         secrets: dict[str, None] = {}
         out: list[Hit] = []
         for r, patterns, vetoes, needs, spares in self.ready:
@@ -75,11 +79,13 @@ class Matcher:
                 for m in rx.finditer(body):
                     whole = m[0]
                     start = m.start() + len(whole) - len(whole.lstrip())
-                    line = body.count("\n", 0, start) + 1
+                    if feeds is None:
+                        feeds = [x.start() for x in FEED.finditer(body)]
+                    line = bisect_left(feeds, start) + 1
                     shown = rows[line - 1] if line <= len(rows) else ""
                     if not any(v.search(shown) for v in vetoes):
                         secret = text.secret_span_text(whole.strip()) if r.category == "secrets" else ""
-                        out.append(self.build(r.id, rows, line, start - body.rfind("\n", 0, start) - 1, whole.strip(), secret, secrets))
+                        out.append(self.build(r.id, rows, line, start - (feeds[line - 2] + 1 if line > 1 else 0), whole.strip(), secret, secrets))
         if self.config.entropy:
             for n, row in enumerate(rows, 1):
                 for name, value, bits, column in entropy.candidates(row, self.config.entropy_threshold):

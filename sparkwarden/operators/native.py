@@ -7,6 +7,7 @@ once however many rules there are."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,15 +16,17 @@ from pyspark.sql import functions as F
 
 from ..functions import globs, regex, text
 from ..sources.rules import Rule
+from . import entropy
 
 
-def gate(r: Rule) -> Column:
-    """Language, path, prefilter and file conditions, cheapest first; CASE keeps the order."""
+def gate(r: Rule, low: Column | None = None) -> Column:
+    """Language, path, prefilter and file conditions, cheapest first; CASE keeps the order.  ``low`` is the text in lower case."""
+    low = F.lower("text") if low is None else low
     java = lambda p: regex.to_java(p, r.ignore_case, r.dotall)
     fits = lambda g: globs.matches_column(F.col("relpath"), g) | globs.matches_column(F.col("project_path"), g)
     tests = [] if "any" in r.languages else [F.col("language").isin(*r.languages)]
     tests += ([fits(r.paths)] if r.paths else []) + ([~fits(r.exclude_paths)] if r.exclude_paths else [])
-    tests += [reduce(Column.__or__, [F.col("low").contains(p) for p in r.prefilters])] if r.prefilters else []
+    tests += [reduce(Column.__or__, [low.contains(p) for p in r.prefilters])] if r.prefilters else []
     tests += ([F.col("text").rlike(java(r.requires))] if r.requires else []) + ([~F.col("text").rlike(java(r.not_requires))] if r.not_requires else [])
     out = F.lit(True)
     for t in reversed(tests):
@@ -31,34 +34,51 @@ def gate(r: Rule) -> Column:
     return out
 
 
+def may_match(rules: list[Rule], assignments: bool) -> Column:
+    """Whether a file meets the language, path and literal gates of any of the rules, or, with ``assignments``, holds a credential's assignment."""
+    loose = [replace(r, requires="", not_requires="") for r in rules]
+    holds = [F.col("text").rlike("(?i)" + entropy.ANY_NAME) & F.col("text").rlike(entropy.ASSIGNMENT)] if assignments else []
+    return F.coalesce(regex.bound(F.lower("text"), lambda low: reduce(Column.__or__, [gate(r, low) for r in loose] + holds, F.lit(False))), F.lit(False))
+
+
 def tagged(rule_id: str, pattern: int) -> Callable[[Column], Column]:
-    return lambda m: F.struct(F.lit(rule_id).alias("rule_id"), F.lit(pattern).alias("pattern_idx"), m["start"].alias("start"), m["match"].alias("match"))
+    """A match of the rule, anchored past its leading white space."""
 
+    def hit(m: Column) -> Column:
+        lead = F.regexp_extract(m["match"], f"(?U)\\A{text.BLANK}*", 0)
+        feeds = F.length(lead) - F.length(F.replace(lead, F.lit("\n"), F.lit("")))
+        column = F.when(feeds > 0, F.length(F.substring_index(lead, "\n", -1))).otherwise(m["column"] + F.length(lead))
+        return F.struct(F.lit(rule_id).alias("rule_id"), F.lit(pattern).alias("pattern_idx"), (m["start"] + F.length(lead)).alias("start"), (m["feeds"] + feeds + 1).alias("line"), column.alias("column"), text.strip(m["match"]).alias("match"))
 
-def raw_matches(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``relpath, language, text, rule_id, pattern_idx, start, match``."""
-    none = F.array().cast("array<struct<rule_id:string,pattern_idx:int,start:int,match:string>>")
-    branches = []
-    for r in rules:
-        for i, p in enumerate(r.patterns):
-            found = regex.finditer(F.col("text"), regex.to_java(p, r.ignore_case, r.dotall))
-            branches.append(F.when(gate(r), F.transform(found, tagged(r.id, i))).otherwise(none))
-    rows = files.where("reason = ''").withColumn("low", F.lower("text"))
-    return rows.select("relpath", "language", "text", F.explode(F.flatten(F.array(*branches))).alias("h")).select("relpath", "language", "text", "h.*")
-
-
-def placed(raw: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Anchored past leading white space, with line, column and lines; vetoed matches are gone."""
-    start = F.col("start") + text.lead(F.col("match"))
-    x = raw.withColumn("start", start).withColumn("match", text.strip(F.col("match"))).withColumn("lines", text.lines(F.col("text")))
-    x = x.withColumn("line", text.line_of(F.col("text"), F.col("start"))).withColumn("column", text.column_of(F.col("text"), F.col("start")))
-    shown = F.coalesce(F.get("lines", F.col("line") - 1), F.lit(""))
+    return hit
+
+
+def raw_matches(files: DataFrame, rules: list[Rule], lines: bool = False) -> DataFrame:
+    """``relpath, language, rule_id, pattern_idx, start, line, column, match``, and with ``lines`` the text of the line and its context.
+
+    All that needs the text is worked out before a file's matches become rows, so no row carries it."""
+    none = F.array().cast("array<struct<rule_id:string,pattern_idx:int,start:int,line:int,column:int,match:string>>")
+
+    def matches(r: Rule, low: Column) -> Column:
+        found = [F.transform(regex.finditer(F.col("text"), regex.to_java(p, r.ignore_case, r.dotall)), tagged(r.id, i)) for i, p in enumerate(r.patterns)]
+        return F.when(gate(r, low), F.flatten(F.array(*found))).otherwise(none)
+
+    rows = files.where("reason = ''")
+    hits = regex.bound(F.lower("text"), lambda low: F.flatten(F.array(none, *[matches(r, low) for r in rules])))
+    if not lines:
+        return rows.select("relpath", "language", F.explode(hits).alias("h")).select("relpath", "language", "h.*")
+    shown = lambda h, x: F.struct(*[h[c].alias(c) for c in ("rule_id", "pattern_idx", "start", "line", "column", "match")], F.coalesce(F.get(x, h["line"] - 1), F.lit("")).alias("shown"), text.context(x, h["line"]).alias("context"))
+    with_lines = regex.bound(F.struct(hits.alias("h"), text.lines(F.col("text")).alias("l")), lambda z: F.transform(z["h"], lambda h: shown(h, z["l"])))
+    return rows.select("relpath", "language", F.explode(with_lines).alias("h")).select("relpath", "language", "h.*")
+
+
+def placed(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Matches with snippet and context; those vetoed by their line are gone."""
     veto = F.lit(False)
     for r in rules:
         for p in r.not_patterns:
-            veto = veto | ((F.col("rule_id") == r.id) & shown.rlike(regex.to_java(p, r.ignore_case, r.dotall)))
-    x = x.where(~veto)
-    return x.select("relpath", "language", "rule_id", "pattern_idx", "start", "line", "column", "match", text.snippet(F.col("lines"), F.col("line")).alias("snippet"), text.context(F.col("lines"), F.col("line")).alias("context"))
+            veto = veto | ((F.col("rule_id") == r.id) & F.col("shown").rlike(regex.to_java(p, r.ignore_case, r.dotall)))
+    return raw_matches(files, rules, lines=True).where(~veto).withColumn("snippet", text.strip(F.col("shown"))).drop("shown")
 
 
 def occurrences(x: DataFrame) -> DataFrame:
@@ -79,7 +99,7 @@ def masked(x: DataFrame) -> DataFrame:
 
 def findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """``rule_id, path, language, line, column, match, snippet, context, occurrence, fingerprint``."""
-    x = placed(raw_matches(files, rules), rules)
+    x = placed(files, rules)
     credentials = [r.id for r in rules if r.category == "secrets"]
     secret = F.when(F.col("rule_id").isin(*credentials), text.secret_span(F.col("match"))) if credentials else F.lit(None).cast("string")
     x = x.withColumn("secret", secret)

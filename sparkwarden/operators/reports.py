@@ -145,7 +145,7 @@ def to_markdown(findings: DataFrame, stats: dict, tally: dict[str, int]) -> str:
     row = F.concat(
         F.format_string("## %s — %s\n\n- **Where:** `%s`\n- **Rule:** `%s` (%s confidence)\n", F.upper("severity"), "title", "location", "rule_id", "confidence"),
         F.when(F.col("cwe") != "", F.format_string("- **CWE:** %s\n", "cwe")).otherwise(""),
-        F.format_string("\n```\n%s\n```\n\n", "snippet"),
+        F.format_string("\n```%s\n%s\n```\n\n", _case(F.col("language"), text.LEXERS, "text"), "snippet"),
         F.when(F.col("description") != "", F.concat("description", F.lit("\n\n"))).otherwise(""),
         F.when(F.col("remediation") != "", F.concat(F.lit("**Fix:** "), "remediation", F.lit("\n\n"))).otherwise(""),
     )
@@ -156,7 +156,7 @@ def to_markdown(findings: DataFrame, stats: dict, tally: dict[str, int]) -> str:
 def to_terminal(findings: DataFrame, stats: dict, tally: dict[str, int], width: int = 100) -> str:
     out = []
     for r in findings.toLocalIterator():
-        out += [f"{r.severity.upper():<8} {r.title}", f"  {r.location}  {r.rule_id}  ({r.confidence} confidence)", *(f"  {c[:width]}" for c in r.context)]
+        out += [f"{r.severity.upper():<8} {r.title}", f"  {r.location}  {r.rule_id}  ({r.confidence} confidence)", f"  --- {text.LEXERS.get(r.language, 'text')}", *(f"  {c[:width]}" for c in r.context), "  ---"]
         out += [f"  fix: {r.remediation}" if r.remediation else "", ""]
     return "\n".join(out) + summary(stats, tally)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import globs, text
-from ..functions.severity import CONFIDENCES, SEVERITIES, at_least
+from ..functions.severity import CONFIDENCES, SEVERITIES, at_least, rank_column
 from ..operators import entropy, filters, match, native, reports, suppress
 from ..sources import files as sources
 from ..sources import rules as rulesets
@@ -23,7 +23,8 @@ from ..sources.rules import Rule
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-CONFIG = ScanConfig(entropy=False, suppressions=False)
+WHOLE = 1 << 40  # a size limit that no text reaches: the queries read whole tables
+CONFIG = ScanConfig(entropy=False, suppressions=False, max_file_bytes=WHOLE)
 RULES = [
     Rule("docs.address", "A network address", "medium", (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",), category="privacy", cwe="CWE-200", confidence="medium", description="An address.", remediation="Remove it.", ignore_case=False),
     Rule("docs.license", "A licence line", "low", ("[Ll]icen[sc]ed?", "[Rr]ights reserved"), category="licence", confidence="high", ignore_case=False, prefilters=("licen", "rights")),
@@ -82,7 +83,7 @@ def _hits(rules: list[Rule]) -> str:
 HITS = f"with {FILES}, {_hits(RULES)}"
 LINE = "(length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) + 1)"
 COLUMN = "length(list_last(string_split(substr(text, 1, start), chr(10))))"
-MASKED = "case when length({0}) <= 8 then repeat('…', 8) else concat(left({0}, 4), '…[redacted, ', length({0}), ' chars]') end"
+MASKED = "case when length({0}) <= 8 then '………' else concat(left({0}, 4), '…[redacted, ', length({0}), ' chars]') end"
 SECRET = "case when rule_id = 'docs.token' then regexp_extract(match, '\"([0-9a-f]+)\"', 1) end"
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _about = lambda what: "case rule_id " + " ".join(f"when '{r.id}' then '{getattr(r, what)}'" for r in RULES) + " end"
@@ -94,8 +95,8 @@ short as (select *, case when length(secret) >= 8 then secret when secret is not
 flat as (select *, left(case when hide is null then match else replace(match, hide, {MASKED.format("hide")}) end, 240) as own from short),
 counted as (select *, row_number() over (partition by path, rule_id, own order by pattern_idx, start) - 1 as occurrence from flat),
 one as (select *, row_number() over (partition by path, rule_id, line order by length(own) desc, pattern_idx, start) as pick from counted),
-hidden as (select path as p, list(distinct hide) filter (hide is not null) as secrets from counted group by path),
-shown as (select path, rule_id, line, "column", own, occurrence, lines, coalesce(secrets, []) as secrets from one join hidden on p = path where pick = 1),
+hidden as (select path as p, list_transform(list_reverse_sort(list_transform(list(distinct hide) filter (hide is not null), lambda s: {{'n': length(s), 's': s}})), lambda z: z.s) as secrets from counted group by path),
+shown as (select path, rule_id, line, "column", own, occurrence, lines, list_concat(case when hide is null then [] else [hide] end, coalesce(secrets, [])) as secrets from one join hidden on p = path where pick = 1),
 masked as (select path, rule_id, line, "column", occurrence, list_reduce(secrets, lambda t, s: replace(t, s, {MASKED.format("s")}), own) as match,
   list_reduce(secrets, lambda t, s: replace(t, s, {MASKED.format("s")}), {STRIP.format("lines[line]")}) as snippet,
   list_reduce(secrets, lambda t, s: replace(t, s, {MASKED.format("s")}), array_to_string(list_transform(generate_series(greatest(line - 2, 1), least(line + 2, len(lines) - (case when lines[-1] = '' then 1 else 0 end))), lambda n: concat(lpad(n::varchar, greatest(5, length(n::varchar))::int, ' '), ' | ', lines[n])), chr(10))) as context from shown),
@@ -116,24 +117,24 @@ def _(spark, d):
 @query("rule_hit_positions", f'{HITS} select path, rule_id, pattern_idx::bigint as pattern_idx, start, {LINE} as line, {COLUMN} as "column", match from hits')
 def _(spark, d):
     x = hits(spark, d)
-    return x.select("path", "rule_id", "pattern_idx", "start", text.line_of(F.col("text"), F.col("start")).alias("line"), text.column_of(F.col("text"), F.col("start")).alias("column"), "match")
+    return x.select("path", "rule_id", "pattern_idx", "start", "line", "column", "match")
 
 
 @query("prefilter_gate", f"with {FILES} select path, (contains(lower(text), 'licen') or contains(lower(text), 'rights')) as passes, regexp_matches(text, '[Ll]icen[sc]ed?|[Rr]ights reserved') as matches from files")
 def _(spark, d):
-    return documents(spark, d).withColumn("low", F.lower("text")).select("path", native.gate(BY_ID["docs.license"]).alias("passes"), F.col("text").rlike("[Ll]icen[sc]ed?|[Rr]ights reserved").alias("matches"))
+    return documents(spark, d).select("path", native.gate(BY_ID["docs.license"]).alias("passes"), F.col("text").rlike("[Ll]icen[sc]ed?|[Rr]ights reserved").alias("matches"))
 
 
 def _gated(requires: str = "", not_requires: str = "") -> Rule:
-    return Rule("docs.the", "the", "info", ("Version [0-9]",), requires=requires, not_requires=not_requires, ignore_case=False)
+    return Rule("docs.the", "the", "info", ("[Rr]ights|Version [0-9]",), requires=requires, not_requires=not_requires, ignore_case=False)
 
 
-@query("requires_gate", f"with {FILES} select path, len(regexp_extract_all(text, 'Version [0-9]')) as n from files where regexp_matches(text, 'Version [0-9]') and regexp_matches(text, 'Apache')")
+@query("requires_gate", f"with {FILES} select path, len(regexp_extract_all(text, '[Rr]ights|Version [0-9]')) as n from files where regexp_matches(text, '[Rr]ights|Version [0-9]') and regexp_matches(text, 'Apache')")
 def _(spark, d):
     return native.raw_matches(documents(spark, d), [_gated(requires="Apache")]).groupBy(F.col("relpath").alias("path")).agg(F.count("*").alias("n"))
 
 
-@query("not_requires_gate", f"with {FILES} select path, len(regexp_extract_all(text, 'Version [0-9]')) as n from files where regexp_matches(text, 'Version [0-9]') and not regexp_matches(text, 'Apache')")
+@query("not_requires_gate", f"with {FILES} select path, len(regexp_extract_all(text, '[Rr]ights|Version [0-9]')) as n from files where regexp_matches(text, '[Rr]ights|Version [0-9]') and not regexp_matches(text, 'Apache')")
 def _(spark, d):
     return native.raw_matches(documents(spark, d), [_gated(not_requires="Apache")]).groupBy(F.col("relpath").alias("path")).agg(F.count("*").alias("n"))
 
@@ -143,7 +144,7 @@ VETO = Rule("docs.address", "An address outside tables", "low", BY_ID["docs.addr
 
 @query("line_veto", f"{HITS} select path, {LINE} as line, match from hits where rule_id = 'docs.address' and not contains(string_split(text, chr(10))[{LINE}], '|')")
 def _(spark, d):
-    return native.placed(native.raw_matches(documents(spark, d), [VETO]), [VETO]).select(F.col("relpath").alias("path"), "line", "match")
+    return native.placed(documents(spark, d), [VETO]).select(F.col("relpath").alias("path"), "line", "match")
 
 
 EXTS = (".py", ".test.JS", ".php5", ".unknown", "/Dockerfile.web", "/.env.production", ".tf", ".conf.bak", "")
@@ -244,6 +245,19 @@ def _(spark, d):
     return findings(spark, d).select("path", "rule_id", "line", F.array_join("context", "\n").alias("context")).where(F.col("context").contains("redacted"))
 
 
+# secrets of several lengths in one file, one of them inside another, by doc_id modulo 4
+SECRETS = ('token = "abc123"', 'token = "0123abcd"', 'token = "0123abcd99"\nsee token = "0123abcd" and 10.1.2.3', 'token = "aaaabbbbccccddddeeeeffff"\n10.9.9.9 a@b.example 0123abcd')
+_SECRETS_SQL = "case doc_id % 4 " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(SECRETS)) + " end"
+HELD = FINDINGS.replace(FILES, f"files as (select concat(source, '/', doc_id, '.txt') as path, concat(text, chr(10), replace({_SECRETS_SQL}, '\n', chr(10))) as text from documents where text is not null)".replace("\n'", "\\n'"))
+
+
+@query("secrets_of_one_file", f"{HELD} select path, rule_id, line, match, snippet, context, occurrence, fingerprint from findings")
+def _(spark, d):
+    line = F.element_at(F.array(*map(F.lit, SECRETS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    f = sources.from_table(table(spark, d, "documents"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.concat("text", F.lit("\n"), line), CONFIG)
+    return native.findings(f, RULES).select("path", "rule_id", "line", "match", "snippet", F.array_join("context", "\n").alias("context"), "occurrence", "fingerprint")
+
+
 @query("context_lines", f"{FINDINGS} select path, rule_id, line, context from findings")
 def _(spark, d):
     return findings(spark, d).select("path", "rule_id", "line", F.array_join("context", "\n").alias("context"))
@@ -279,6 +293,11 @@ def _(spark, d):
     return filters.tally(findings(spark, d))
 
 
+@query("worst_severity", f"{FINDINGS} select path, arg_min(severity, {RANK}) as severity from findings group by path")
+def _(spark, d):
+    return findings(spark, d).groupBy("path").agg(F.min_by("severity", rank_column(F.col("severity"))).alias("severity"))
+
+
 @query("severity_overrides", f"{FINDINGS} select case rule_id when 'docs.mail' then 'high' else severity end as severity, count(*) as n from findings group by 1")
 def _(spark, d):
     raw = api.with_native(documents(spark, d), RULES, CONFIG)
@@ -313,7 +332,7 @@ MARKED = FINDINGS.replace(FILES, f"files as (select path, text from ({MARKED_SQL
 def marked(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 5
     body = F.when(k == 0, F.replace("text", F.lit("\n"), F.lit("  # scan: ignore [docs.a*] -- seen\n"))).when(k == 1, F.replace("text", F.lit("\n"), F.lit("\n# scan: ignore\n"))).when(k == 2, F.concat("text", F.lit("\n// scan: ignore-file [docs.token, docs.license]"))).otherwise(F.col("text"))
-    return sources.from_table(table(spark, d, "documents"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), body)
+    return sources.from_table(table(spark, d, "documents"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), body, CONFIG)
 
 
 def marked_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -326,16 +345,18 @@ _DOC = "(regexp_extract(path, '/([0-9]+)', 1)::bigint % 5)"
 @query(
     "suppressions_line",
     f"""{MARKED}, t as (select path as p, string_split(text, chr(10)) as lines from files)
-    select path, rule_id, line, case when {_DOC} = 0 then rule_id like 'docs.a%' and line < len(lines) else line > 1 and lines[line - 1] = '# scan: ignore' end as suppressed, case when {_DOC} = 0 and rule_id like 'docs.a%' and line < len(lines) then 'seen' else '' end as suppressed_by
-    from findings join t on p = path where {_DOC} < 2""",
+    select path, rule_id, line, case {_DOC} when 0 then rule_id like 'docs.a%' and line < len(lines) when 1 then line > 1 and lines[line - 1] = '# scan: ignore' when 2 then rule_id in ('docs.token', 'docs.license') else false end as suppressed,
+    case when {_DOC} = 0 and rule_id like 'docs.a%' and line < len(lines) then 'seen' else '' end as suppressed_by from findings join t on p = path""",
 )
 def _(spark, d):
-    return marked_findings(spark, d).where(F.regexp_extract("path", "/([0-9]+)", 1).cast("long") % 5 < 2).select("path", "rule_id", "line", "suppressed", "suppressed_by")
+    return marked_findings(spark, d).select("path", "rule_id", "line", "suppressed", "suppressed_by")
 
 
-@query("suppressions_file", f"{MARKED} select path, rule_id, line, rule_id in ('docs.token', 'docs.license') as suppressed from findings where {_DOC} = 2")
+@query("suppressions_file", f"{MARKED} select path, rule_id, count(*) as n, count(*) filter ({_DOC} = 2 and rule_id in ('docs.token', 'docs.license')) as by_file from findings group by all")
 def _(spark, d):
-    return marked_findings(spark, d).where(F.regexp_extract("path", "/([0-9]+)", 1).cast("long") % 5 == 2).select("path", "rule_id", "line", "suppressed")
+    of_file = suppress.table(marked(spark, d)).where("kind = 'file'")
+    x = suppress.apply(native.findings(marked(spark, d), RULES), of_file)
+    return x.groupBy("path", "rule_id").agg(F.count("*").alias("n"), F.count_if("suppressed").alias("by_file"))
 
 
 @query("suppression_comments", f"with f as ({MARKED_SQL}), l as (select path, doc_id, unnest(string_split(text, chr(10))) as line from f) select path, case when contains(line, 'ignore-file') then 'file' when line = '# scan: ignore' then 'below' else 'trailing' end as kind, count(*) as n from l where contains(line, 'scan: ignore') group by all")
@@ -353,9 +374,24 @@ def _(spark, d):
     return entropy.assignments(documents(spark, d)).select("path", "line", "value", F.round(text.entropy(F.col("value")), 6).alias("entropy"))
 
 
-@query("entropy_gates", f"{_ENTROPY_CTE} select case when length(value) = 40 then 'shape' end as reason, count(*) as n from a group by 1")
+# a line for each gate, by doc_id modulo 7, after the text
+GATED = (
+    ("", ""),
+    ("name", 'other_name = "aZ3kQ9wLp2Xv7Tn4Rb8Yc1Md6Hs5Jf0G"'),
+    ("reference", "auth_token = aZ3kQ9wLp2Xv7Tn4Rb8Yc1 + os.environ['X']"),
+    ("placeholder", 'api_key = "your_api_key_goes_here_1234"'),
+    ("repeat", 'auth_token = "aaaaaaaaaaaaaaaaaaaaaaab"'),
+    ("entropy", 'client_secret = "abcabcabcabcabcabcabcabc"'),
+    ("", 'auth_token = "aZ3kQ9wLp2Xv7Tn4Rb8Yc1Md6Hs5Jf0G"'),
+)
+
+
+@query("entropy_gates", f"{_ENTROPY_CTE}, r as (select case when length(value) = 40 then 'shape' end as reason from a union all select case doc_id % 7 {' '.join(f'when {i} then {r!r}' for i, (r, _) in enumerate(GATED))} end from documents where text is not null and doc_id % 7 > 0) select reason, count(*) as n from r group by 1")
 def _(spark, d):
-    return entropy.gates(entropy.assignments(documents(spark, d))).groupBy("reason").agg(F.count("*").alias("n"))
+    line = F.element_at(F.array(*[F.lit(x) for _, x in GATED]), (F.col("doc_id") % 7 + 1).cast("int"))
+    t = table(spark, d, "documents").withColumn("text", F.concat("text", F.lit("\n"), line))
+    f = sources.from_table(t, F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"), CONFIG)
+    return entropy.gates(entropy.assignments(f)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("entropy_candidates", f"{_ENTROPY_CTE} select path, line, concat('q', value) as value, round(list_entropy(string_split(concat('q', value), '')), 6) as entropy from a where list_entropy(string_split(concat('q', value), '')) >= 3.9")
@@ -398,6 +434,21 @@ def _(spark, d):
     return reports.sarif_rules(findings(spark, d)).select("rule_index", "rule_id", "title", "level", "score")
 
 
+@query("json_rows", f"""{FINDINGS} select concat('scan-', substr(fingerprint, 1, 10)) as key, fingerprint, rule_id, title, severity, confidence, category, cwe, path, line, line as end_line, "column", '' as owasp, '' as suppressed_by, match, snippet, description, remediation from findings""")
+def _(spark, d):
+    return reports.json_rows(findings(spark, d)).drop("language", "references", "tags")
+
+
+@query(
+    "sarif_results",
+    f"""{FINDINGS}, o as (select *, row_number() over (partition by rule_id order by {RANK}, path, line, "column") as k from findings),
+    i as (select rule_id as r, row_number() over (order by {RANK}, path, line, rule_id, "column") - 1 as rule_index from o where k = 1)
+    select rule_id, rule_index, case severity when 'critical' then 'error' when 'high' then 'error' when 'medium' then 'warning' else 'note' end as level, path, line, "column" + 1 as "column", snippet, fingerprint from findings join i on r = rule_id""",
+)
+def _(spark, d):
+    return reports.sarif_results(findings(spark, d)).select("rule_id", "rule_index", "level", "path", "line", "column", "snippet", "fingerprint")
+
+
 @query("changed_files_semi", f"{HITS} select path, rule_id, count(*) as n from hits where path in (select concat(source, '/', doc_id, '.txt') from documents join labels using (doc_id) where quality = 1) group by all")
 def _(spark, d):
     changed = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
@@ -410,32 +461,64 @@ def _(spark, d):
     return native.raw_matches(documents(spark, d).join(ignored, "path", "left_anti"), RULES).groupBy(F.col("relpath").alias("path"), "rule_id").agg(F.count("*").alias("n"))
 
 
-# ---- the whole engine: rows only ---------------------------------------------
+# ---- the whole engine, with constructs planted after the texts ---------------
+
+
+def planted(languages: dict[str, str]) -> tuple[list[tuple[str, str]], list[list[tuple]]]:
+    """File endings and examples of the rules for ``languages``, and what the rules say of each example alone."""
+    config = ScanConfig(max_file_bytes=WHOLE)
+    matcher = match.Matcher(_ALL, config).compile()
+    severity = {r.id: r.severity for r in _ALL} | {"secrets.high-entropy-assignment": "high"}
+    made = [(languages[x], example) for r in _ALL for x in (*r.languages, "any")[:1] if x in languages for example in r.examples[:1] if not r.paths]
+    found = []
+    for ext, example in made:
+        name = f"planted/x{ext}"
+        found.append([(h.rule_id, severity[h.rule_id], h.line, h.column, h.match, h.occurrence) for h in matcher.hits((name, name), text.language_of(name), example)])
+    return made, found
+
 
+def planted_sql(name: str, id_: str, body: str, made: list[tuple[str, str]], found: list[list[tuple]]) -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    rows = ", ".join(f"({', '.join(map(quoted, (k, made[k][0], *h)))})" for k, hits_ in enumerate(found) for h in hits_)
+    return f"""with p(k, ext, rule_id, severity, line_in, "column", match, occurrence) as (values {rows}),
+    f as (select concat('{name}/', {id_}, ext) as path, rule_id, severity, length({body}) - length(replace({body}, chr(10), '')) + 1 + line_in as line, "column", match, occurrence from {name} join p on k = {id_} % {len(made)} where {body} is not null)
+    select severity, rule_id, path, line, "column", match, substr(sha256(concat_ws('{text.SEPARATOR}', rule_id, path, regexp_replace(trim(match), '\\s+', ' ', 'g'), occurrence)), 1, 16) as fingerprint from f"""
 
-def _scan(name: str, id_: str, ext: str, body: str, spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, name)
-    got = api.scan_table(spark, t, F.concat(F.lit(f"{name}/"), F.col(id_).cast("string"), F.lit(ext)), F.col(body), ScanConfig())
+
+def planted_scan(name: str, id_: str, body: str, made: list[tuple[str, str]], spark: SparkSession, d: str) -> DataFrame:
+    """The full rule set over whole texts, each with one example of a rule after it."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col(id_) % len(xs) + 1).cast("int"))
+    path = F.concat(F.lit(f"{name}/"), F.col(id_).cast("string"), pick([e for e, _ in made]))
+    got = api.scan_table(spark, table(spark, d, name), path, F.concat(body, F.lit("\n"), pick([x for _, x in made])), ScanConfig(max_file_bytes=WHOLE))
     return got.findings.select("severity", "rule_id", "path", "line", "column", "match", "fingerprint")
 
 
-@query("scan_documents")
+_DOCUMENTS = planted({"python": ".py", "javascript": ".js", "php": ".php", "java": ".java", "go": ".go", "ruby": ".rb", "shell": ".sh", "terraform": ".tf", "csharp": ".cs"})
+_PAGES = planted({"javascript": ".js", "typescript": ".ts", "php": ".php"})
+_CONVERSATIONS = planted({"python": ".py", "ruby": ".rb", "shell": ".sh", "yaml": ".yml"})
+
+
+# what the texts hold themselves: tokens, which the Python rules see in files that end in .py
+_VETOES = " ".join("and not regexp_matches(t, '" + p.replace("'", "''") + "')" for r in _ALL if r.id == "python.hardcoded-password-argument" for p in r.not_patterns)
+_TOKENS = f"""with l as (select concat('documents/', doc_id, '.py') as path, unnest(string_split(text, chr(10))) as t, unnest(generate_series(1, len(string_split(text, chr(10))))) as line from documents where doc_id % {len(_DOCUMENTS[0])} in ({', '.join(str(k) for k, (e, _) in enumerate(_DOCUMENTS[0]) if e == '.py')})),
+    v as (select path, line, strpos(t, 'token = "') - 1 as "column", concat('token = "', left(regexp_extract(t, 'token = "([0-9a-f]{{40}})"', 1), 4), '…[redacted, 40 chars]"') as match from l where regexp_matches(t, 'token = "[0-9a-f]{{40}}"') {_VETOES})
+    select 'high' as severity, 'python.hardcoded-password-argument' as rule_id, path, line, "column", match, substr(sha256(concat_ws('{text.SEPARATOR}', 'python.hardcoded-password-argument', path, match, row_number() over (partition by path, match order by line) - 1)), 1, 16) as fingerprint from v"""
+
+
+@query("scan_documents", f"select * from ({planted_sql('documents', 'doc_id', 'text', *_DOCUMENTS)}) union all select * from ({_TOKENS})")
 def _(spark, d):
-    """The full rule set; documents are read as Python, JavaScript, PHP and more by turns."""
-    t = table(spark, d, "documents")
-    exts = (".py", ".js", ".php", ".java", ".go", ".yml", ".sh", ".tf")
-    ext = F.element_at(F.array(*map(F.lit, exts)), (F.col("doc_id") % len(exts) + 1).cast("int"))
-    got = api.scan_table(spark, t, F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), ext), F.col("text"), ScanConfig())
-    return got.findings.select("severity", "rule_id", "path", "line", "column", "match", "fingerprint")
+    return planted_scan("documents", "doc_id", "text", _DOCUMENTS[0], spark, d)
 
 
-@query("scan_pages")
+@query("scan_pages", planted_sql("pages", "page_id", "html", *_PAGES))
 def _(spark, d):
-    return _scan("pages", "page_id", ".js", "html", spark, d)
+    return planted_scan("pages", "page_id", "html", _PAGES[0], spark, d)
 
 
-@query("scan_conversations")
+@query("scan_conversations", planted_sql("conversations", "conv_id", "text", *_CONVERSATIONS).replace("concat('conversations/', conv_id, ext)", "concat('conversations/', conv_id, '-', turn, ext)"))
 def _(spark, d):
-    t = table(spark, d, "conversations").withColumn("name", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    got = api.scan_table(spark, t, F.concat(F.lit("conversations/"), F.col("name"), F.lit(".md")), F.col("text"), ScanConfig())
+    made = _CONVERSATIONS[0]
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("conv_id") % len(xs) + 1).cast("int"))
+    name = F.concat(F.lit("conversations/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), pick([e for e, _ in made]))
+    got = api.scan_table(spark, table(spark, d, "conversations"), name, F.concat("text", F.lit("\n"), pick([x for _, x in made])), ScanConfig(max_file_bytes=WHOLE))
     return got.findings.select("severity", "rule_id", "path", "line", "column", "match", "fingerprint")

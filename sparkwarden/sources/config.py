@@ -11,9 +11,39 @@ from ..functions.severity import CONFIDENCES, SEVERITIES
 NAMES = (".sparkwarden.yml", ".sparkwarden.yaml")
 
 # Folders and files that are generated or foreign.
-_FOLDERS = ".git node_modules vendor bower_components dist build out target .next __pycache__ .venv venv .tox .mypy_cache .pytest_cache .ruff_cache coverage htmlcov .idea .vscode"
-_FILES = "*.min.js *.min.css *.map *.lock package-lock.json yarn.lock poetry.lock Cargo.lock composer.lock"
-DEFAULT_EXCLUDES = (*(f"**/{x}/**" for x in _FOLDERS.split()), *(f"**/{x}" for x in _FILES.split()), "**/.sparkwarden/**", "**/.sparkwarden-baseline.json")
+DEFAULT_EXCLUDES = (
+    "**/.git/**",
+    "**/node_modules/**",
+    "**/vendor/**",
+    "**/bower_components/**",
+    "**/dist/**",
+    "**/build/**",
+    "**/out/**",
+    "**/target/**",
+    "**/.next/**",
+    "**/__pycache__/**",
+    "**/.venv/**",
+    "**/venv/**",
+    "**/.tox/**",
+    "**/.mypy_cache/**",
+    "**/.pytest_cache/**",
+    "**/.ruff_cache/**",
+    "**/coverage/**",
+    "**/htmlcov/**",
+    "**/.idea/**",
+    "**/.vscode/**",
+    "**/*.min.js",
+    "**/*.min.css",
+    "**/*.map",
+    "**/*.lock",
+    "**/package-lock.json",
+    "**/yarn.lock",
+    "**/poetry.lock",
+    "**/Cargo.lock",
+    "**/composer.lock",
+    "**/.sparkwarden/**",
+    "**/.sparkwarden-baseline.json",
+)
 
 _LISTS = ("exclude", "include", "rule_dirs", "select", "ignore_rules", "categories")
 

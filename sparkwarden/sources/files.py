@@ -21,6 +21,7 @@ from .config import ScanConfig
 
 SCHEMA = "path string, relpath string, project_path string, language string, length long, text string, reason string"
 SNIFF = 8192
+SPREAD_BELOW = 1 << 30  # bytes that a source is read from
 
 
 @dataclass
@@ -157,9 +158,17 @@ def read_tree(spark: SparkSession, config: ScanConfig, paths: list[str] | None =
     return spark.read.format("source_tree").options(base=str(base), project=project, files=listing).load()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: its one file or row group would be one task.
+
+    Beyond ``SPREAD_BELOW`` bytes there are row groups for every core and nothing is moved."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if 1 << 20 < size < SPREAD_BELOW else df
+
+
 def from_table(df: DataFrame, path: Column, body: Column, config: ScanConfig = ScanConfig()) -> DataFrame:
     """The same rows from a table; nothing but columns, so filters and pruning reach its scan."""
-    some = df.select(path.alias("path"), body.alias("text")).withColumn("language", text.language(F.col("path"))).withColumn("length", F.octet_length("text").cast("long"))
+    some = spread(df.select(path.alias("path"), body.alias("text"))).withColumn("language", text.language(F.col("path"))).withColumn("length", F.octet_length("text").cast("long"))
     reason = (
         F.when(globs.matches_column(F.col("path"), config.excludes), "excluded")
         .when(~globs.matches_column(F.col("path"), config.include) if config.include else F.lit(False), "excluded")

@@ -113,3 +113,33 @@ def test_lines_and_strip(spark):
 def test_long_text_without_a_match_in_the_router(spark):
     body = "subprocess.run(" + "a" * 100_000
     assert run(spark, [("a.py", body)]) == [] and re.match("sub", body)
+
+
+def test_no_secret_leaks_between_engines(spark):
+    """A credential that one engine finds next to a finding of the other is masked in both."""
+    rows = [
+        ("a.py", f'auth_token = "{SECRET}"\nhashlib.md5(b)\n'),
+        ("b.env", f"DATABASE_URL=postgres://user:{SECRET}@db:5432/x\nAPI_TOKEN={SECRET}\n"),
+        ("Dockerfile", f"FROM node:latest\nENV NPM_TOKEN={SECRET}\n"),
+        ("c.py", f"hashlib.md5(b)\nlogin(password='{SECRET}')\n"),
+        ("d.py", 'subprocess.run(f"ping {host}", shell=True)\n'),
+    ]
+    key = lambda r: tuple(r)
+    found = {}
+    for engine in ("python", "native"):
+        got = api.scan_files(spark, table(spark, rows), ScanConfig(match_engine=engine)).findings.collect()
+        assert got and not [r for r in got if SECRET in repr(r)]
+        found[engine] = sorted(map(key, got))
+    assert found["python"] == found["native"] and any("shell=True" in repr(r) for r in found["native"])
+
+
+def test_masks(spark):
+    values = ["", "a", "12345678", "123456789", "é" * 20]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.mask(F.col("v")).alias("m")).collect()
+    assert [r.m for r in got] == list(map(text.mask_text, values)) == ["………"] * 3 + ["1234…[redacted, 9 chars]", "éééé…[redacted, 20 chars]"]
+
+
+def test_many_matches_in_one_text(spark):
+    body = "x1 é\n" * 3000 + "x2"
+    got = spark.createDataFrame([(body,)], "t string").select(regex.finditer(F.col("t"), regex.to_java(r"x\d")).alias("f")).first().f
+    assert [(m.start, m.feeds, m.column) for m in got] == [(5 * i, i, 0) for i in range(3001)]

@@ -24,7 +24,7 @@ def result(spark, tmp_path_factory):
 
 def test_order_cap_and_decision(spark, result):
     rows = result.findings.collect()
-    assert [r.severity for r in rows] == ["critical", "high", "high", "medium", "low"] and result.failed()
+    assert [r.severity for r in rows] == ["critical", "high", "high", "medium", "low"] and result.failed() and result.worst_severity() == "critical"
     assert list(result.tally().values()) == [1, 2, 1, 1, 0]
     capped = api.scan(spark, result.config.root, max_findings=2)
     assert [r.key for r in capped.findings.collect()] == [r.key for r in rows[:2]] and capped.stats()["truncated"]
@@ -70,6 +70,8 @@ def test_command_line(spark, tmp_path, capfd, monkeypatch):
     assert cli.main(["scan", str(root), "--write-baseline", str(tmp_path / "b.json")]) == 0
     assert cli.main(["scan", str(root), "--baseline", str(tmp_path / "b.json")]) == 0
     assert cli.main(["sync", str(root), "--state-dir", str(tmp_path / "s")]) == 1 and (tmp_path / "s/findings.json").exists()
+    capfd.readouterr()
+    assert cli.main(["rules", "list"]) == 0 and "81 rules" in capfd.readouterr().out
     assert cli.main(["rules", "validate"]) == 0 and cli.main(["rules", "show", "none"]) == 2
     assert cli.main(["describe"]) == 0 and '"count": 81' in capfd.readouterr().out
     assert cli.main(["init", str(root)]) == 0 and (root / ".sparkwarden.yml").exists()
