@@ -501,7 +501,8 @@ _CONVERSATIONS = planted({"python": ".py", "ruby": ".rb", "shell": ".sh", "yaml"
 # what the texts hold themselves: tokens, which the Python rules see in files that end in .py
 _VETOES = " ".join("and not regexp_matches(t, '" + p.replace("'", "''") + "')" for r in _ALL if r.id == "python.hardcoded-password-argument" for p in r.not_patterns)
 _TOKENS = f"""with l as (select concat('documents/', doc_id, '.py') as path, unnest(string_split(text, chr(10))) as t, unnest(generate_series(1, len(string_split(text, chr(10))))) as line from documents where doc_id % {len(_DOCUMENTS[0])} in ({', '.join(str(k) for k, (e, _) in enumerate(_DOCUMENTS[0]) if e == '.py')})),
-    v as (select path, line, strpos(t, 'token = "') - 1 as "column", concat('token = "', left(regexp_extract(t, 'token = "([0-9a-f]{{40}})"', 1), 4), '…[redacted, 40 chars]"') as match from l where regexp_matches(t, 'token = "[0-9a-f]{{40}}"') {_VETOES})
+    m as (select path, line, t, regexp_extract(t, '(?i)token = "[0-9a-f]{{40}}"') as m from l where regexp_matches(t, '(?i)token = "[0-9a-f]{{40}}"') {_VETOES}),
+    v as (select path, line, strpos(t, m) - 1 as "column", concat(left(m, 13), '…[redacted, 40 chars]"') as match from m)
     select 'high' as severity, 'python.hardcoded-password-argument' as rule_id, path, line, "column", match, substr(sha256(concat_ws('{text.SEPARATOR}', 'python.hardcoded-password-argument', path, match, row_number() over (partition by path, match order by line) - 1)), 1, 16) as fingerprint from v"""
 
 
