@@ -4,14 +4,23 @@ The network is trained in numpy, at the driver, from made-up text with labelled
 spans (``Model.windows`` of them, the bound on what is fitted) and sent to the
 executors (a few hundred KB).  A text is decoded in overlapping windows; each
 character takes its label from the window in whose middle it lies best, so that
-one labelling of the whole text results.  Windows without '@', and with fewer
-than ``min_digits`` digits, are not decoded: every labelled kind holds one or
-the other.  Spans of the patterns always stay; the network adds spans that
-overlap none of them and pass the exact check of their kind.
+one labelling of the whole text results.  A decoded span is taken if the CRF's own
+marginal probability of its labels is at least ``min_marginal`` at each character
+on average; what is asked of it beyond that is little: digits of a card pass Luhn,
+an address has four numbers of at most 255, a telephone number has 7 to 15 digits,
+a mail address has a sign for "at" and one for the dot.
+
+A window is decoded if it, or the one before or after it, holds '@', a bracket or
+``min_digits`` digits.  No labelled kind is without: a mail address has the one or
+the other, and four is the least number of digits in any other kind.  A span of at
+most ``width - stride`` characters lies whole in one of the windows, so none is
+missed for being cut.  Spans of the patterns always stay; the network adds spans
+that overlap none of them.
 
 Nulls and odd input: a null text is empty and has no spans; very long texts are
-read whole in linear time; repeated rows give repeated rows; extra columns are
-ignored; an empty table gives an empty result.
+read whole in linear time; of labels or windows that are equally likely the first
+is taken; repeated rows give repeated rows; a null doc_id is kept; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, table
+from .common import arrow_map, scratch_root, table
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -87,13 +96,14 @@ class Model:
     width: int = 96
     stride: int = 64
     embed: int = 12
-    hidden: int = 20
-    windows: int = 1600
-    epochs: int = 10
-    batch: int = 50
-    rate: float = 0.012
+    hidden: int = 28
+    windows: int = 4800
+    epochs: int = 8
+    batch: int = 80
+    rate: float = 0.015
     seed: int = 7
-    min_digits: int = 7
+    min_digits: int = 4
+    min_marginal: float = 0.7
     block: int = 512  # windows decoded at once
 
 
@@ -109,40 +119,57 @@ SYMBOLS = 99
 def labelled_window(rng: random.Random, width: int) -> tuple[str, list[Span]]:
     """Made-up text with known spans, among them forms that the patterns miss, and numbers that are nothing."""
     d = lambda n: "".join(rng.choices("0123456789", k=n))
-    w = lambda: "".join(rng.choices("aeinorstdlhu", k=rng.randint(2, 9)))
+    w = lambda: "".join(rng.choices("aeinorstdlhucmpgbéñü", (9, 12, 7, 7, 7, 6, 6, 9, 4, 5, 3, 4, 3, 3, 2, 2, 2, 1, 1, 1), k=rng.randint(2, 9)))
+    plain = lambda: "".join(rng.choices("aeinorstdlhucmpgb", k=rng.randint(2, 9)))
 
     def card() -> str:
         x = rng.choice("3456") + d(14)
-        return x + next(c for c in "0123456789" if luhn(x + c))
+        x += next(c for c in "0123456789" if luhn(x + c))
+        return rng.choice(("", "-", " ", ".", "/", " - ", "_")).join((x[:4], x[4:8], x[8:12], x[12:]))
 
     def email() -> str:
-        at, dot = rng.choice((("@", "."),) * 3 + ((" [at] ", " [dot] "), (" (at) ", ".")))
-        return f"{rng.choice((w() + d(2), w() + '.' + w(), w() + '_' + w()))}{at}{w()}{dot if at != '@' else '.'}{rng.choice(('com', 'org', 'net', 'example' + '.com'))}"
+        name = rng.choice((plain() + d(2), plain() + "." + plain(), plain() + "_" + plain(), plain()))
+        x = rng.random()
+        if x < 0.35:
+            at, dot = "@", "."
+        else:
+            left, right = rng.choice(("[]", "()", "{}"))
+            gap = rng.choice(("", " ", " "))
+            at = gap + left + rng.choice(("at", "AT")) + right + gap
+            dot = rng.choice((".", gap + left + "dot" + right + gap, "."))
+        return name + at + dot.join([plain(), *([plain()] if rng.random() < 0.3 else []), rng.choice(("com", "org", "net", "de", "io", "co" + dot + "uk"))])
 
     def phone() -> str:
-        return rng.choice((f"+{d(1)} ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(11)}"))
-
-    def split_card() -> str:
-        x = card()
-        return rng.choice((x, "-".join((x[:4], x[4:8], x[8:12], x[12:])), " ".join((x[:4], x[4:8], x[8:12], x[12:])), ".".join((x[:4], x[4:8], x[8:12], x[12:]))))
-
-    made = {"email": email, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": split_card, "phone": phone}
-    other = (lambda: d(rng.randint(1, 8)), lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{d(2)}.{d(2)}", lambda: "".join(rng.choices("0123456789abcdef", k=40)), lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"@{w()}", lambda: d(24), lambda: f"{d(2)}:{d(2)}:{d(2)}")
+        s = rng.choice((" ", "-", ".", "-", " ", "/"))
+        head = rng.choice(("", "", "", f"+{d(rng.randint(1, 2))}{rng.choice((s, ''))}", f"1{s}", "0", f"00{d(2)}{s}"))
+        first = rng.choice((f"({d(3)}){rng.choice((' ', '', s))}", d(3) + s, d(3) + s, d(4) + s, f"({d(2)}) "))
+        return head + first + s.join(rng.choice(((d(3), d(4)), (d(3), d(4)), (d(3), d(3)), (d(4), d(4)), (d(2), d(2), d(2)))))
+
+    made = {"email": email, "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "card": card, "phone": phone}
+    other = (
+        lambda: d(rng.randint(1, 8)), lambda: d(rng.randint(1, 3)), lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.{rng.randint(1900, 2030)}",
+        lambda: f"{d(2)}.{d(2)}", lambda: "".join(rng.choices("0123456789abcdef", k=rng.choice((8, 32, 40)))), lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"@{plain()}", lambda: d(rng.choice((10, 12, 24))), lambda: f"{d(2)}:{d(2)}:{d(2)}",
+        lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", lambda: f"({plain()})", lambda: f"[{d(1)}]", lambda: f"{d(2)} {d(3)}", lambda: f"{d(2)}-{d(2)}", lambda: f"({d(4)})", lambda: "".join(rng.choices("abcdefABCDEF0123456789", k=16)), lambda: f"{d(1)}.{d(3)}.{d(3)}", lambda: f"{plain()}{d(3)}",
+        lambda: f"{rng.randint(1900, 2030)}/{rng.randint(1, 12):02}/{rng.randint(1, 28):02}", lambda: f"97{rng.choice('89')}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"97{rng.choice('89')}-{d(1)}-{d(3)}-{d(5)}-{d(1)}",
+    )
     text, spans = "", []
-    while len(text) < width:
+    lead = rng.randint(0, 12)  # so that windows open in the middle of a word or number too
+    while len(text) < width + lead:
         x = rng.random()
-        if x < 0.13:
+        if x < 0.14:
             k = rng.choice(KINDS)
+            open_, close = rng.choice((("", ""), ("", ""), ("", ""), ("(", ")"), ("", "."), ("", ","), ("<", ">"), (":", ""), ('"', '"')))
             s = made[k]()
-            if len(text) + len(s) <= width:
-                spans.append((k, len(text), len(text) + len(s)))
-                text += s
-        elif x < 0.22:
-            text += rng.choice(other)()
+            text += open_
+            spans.append((k, len(text), len(text) + len(s)))
+            text += s + close
+        elif x < 0.27:
+            text += rng.choice(other)() + rng.choice(("", "", ".", ",", "%"))
         else:
-            text += rng.choice((w(), w().title(), w() + ",", w() + ".", w() + ":"))
-        text += rng.choice((" ", " ", " ", " ", "\n", " | "))
-    return text[:width], [s for s in spans if s[2] <= width]
+            x = w()
+            text += rng.choice((x, x, x.title(), x + ",", x + ".", x + ":", x.upper()))
+        text += rng.choice((" ", " ", " ", " ", "\n", " | ", "  "))
+    return text[lead : lead + width], [(k, a - lead, b - lead) for k, a, b in spans if a >= lead and b <= lead + width]
 
 
 def tags_of(spans: list[Span], n: int) -> np.ndarray:
@@ -266,6 +293,23 @@ def trained(m: Model = Model()) -> dict[str, np.ndarray]:
     return p
 
 
+def fitted(spark: SparkSession, m: Model = Model()) -> dict[str, np.ndarray]:
+    """``trained(m)``, from the table that an earlier session left in the shared folder if there is one.
+
+    The table's name is a hash of the options and of this module's text, so none is used
+    that other code has written."""
+    with open(__file__, "rb") as f:
+        name = hashlib.sha256(f.read() + repr(m).encode()).hexdigest()[:24]
+    path = f"{scratch_root(spark).rstrip('/')}/pii-weights-{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return {r.name: np.frombuffer(bytes(r.data), np.float32).reshape(r.shape) for r in spark.read.parquet(path).collect()}
+    p = trained(m)
+    rows = [(k, list(v.shape), bytearray(v.astype(np.float32).tobytes())) for k, v in p.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return p
+
+
 def viterbi(e: np.ndarray, A: np.ndarray) -> np.ndarray:
     T, B, K = e.shape
     best, back = e[0], np.empty((T, B, K), np.int8)
@@ -280,24 +324,46 @@ def viterbi(e: np.ndarray, A: np.ndarray) -> np.ndarray:
     return y
 
 
+def marginals(e: np.ndarray, A: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Probability of each label ``y[t, batch]`` given the whole window."""
+    T, B, K = e.shape
+    top = A.max()
+    move = np.exp(A - top)
+    e = np.exp(e - e.max(2, keepdims=True))
+    alpha, beta = np.empty_like(e), np.ones_like(e)
+    alpha[0] = e[0] / e[0].sum(1, keepdims=True)
+    for t in range(1, T):
+        x = (alpha[t - 1] @ move) * e[t]
+        alpha[t] = x / x.sum(1, keepdims=True)
+    for t in reversed(range(T - 1)):
+        x = (e[t + 1] * beta[t + 1]) @ move.T
+        beta[t] = x / x.sum(1, keepdims=True)
+    p = alpha * beta
+    return np.take_along_axis(p / p.sum(2, keepdims=True), y[:, :, None], 2)[:, :, 0]
+
+
 def window_starts(n: int, m: Model) -> list[int]:
     return [0] if n <= m.width else [*range(0, n - m.width, m.stride), n - m.width]
 
 
-def decode(texts: list[str], p: dict[str, np.ndarray], m: Model) -> list[list[Span]]:
-    """Labelled spans of each text."""
+def decode(texts: list[str], p: dict[str, np.ndarray], m: Model) -> list[list[tuple[str, int, int, float]]]:
+    """Labelled spans of each text, with the mean marginal of their labels."""
     ids = [char_ids(t) for t in texts]
     jobs: list[tuple[int, int]] = []
-    for i, (t, x) in enumerate(zip(texts, ids)):
-        if not t or "@" not in t and not DIGIT.search(t) and "[at]" not in t and "(at)" not in t:
+    for i, x in enumerate(ids):
+        sign = (x == 36) | (x == 63) | (x == 12) | (x == 95)  # '@', '[', '(' and '{'
+        digit = (x >= 20) & (x <= 29)
+        if not sign.any() and digit.sum() < m.min_digits:
             continue
-        digit = np.concatenate(([0], np.cumsum((x >= 20) & (x <= 29))))
-        mark = np.concatenate(([0], np.cumsum((x == 36) | (x == 63) | (x == 12))))  # '@', '[' and '(' of "[at]"
-        for s in window_starts(len(t), m):
-            e = min(len(t), s + m.width)
-            if mark[e] - mark[s] or digit[e] - digit[s] >= m.min_digits:
-                jobs.append((i, s))
+        starts = np.array(window_starts(len(x), m))
+        ends = np.minimum(len(x), starts + m.width)
+        signs, digits = (np.concatenate(([0], np.cumsum(v))) for v in (sign, digit))
+        on = (signs[ends] > signs[starts]) | (digits[ends] - digits[starts] >= m.min_digits)
+        on[1:] |= on[:-1].copy()
+        on[:-1] |= on[1:].copy()
+        jobs += [(i, s) for s in starts[on].tolist()]
     tag = {i: np.zeros(len(ids[i]), np.int64) for i, _ in jobs}
+    sure = {i: np.zeros(len(ids[i]), np.float32) for i, _ in jobs}
     edge = {i: np.full(len(ids[i]), -1, np.int64) for i, _ in jobs}  # how far from an edge the label was read
     middle = np.minimum(np.arange(m.width), np.arange(m.width)[::-1])
     for at in range(0, len(jobs), m.block):
@@ -306,18 +372,24 @@ def decode(texts: list[str], p: dict[str, np.ndarray], m: Model) -> list[list[Sp
         for j, (i, s) in enumerate(some):
             part = ids[i][s : s + m.width]
             x[: len(part), j] = part
-        y = viterbi(emissions(p, x)[0], p["A"])
+        e = emissions(p, x)[0]
+        y = viterbi(e, p["A"])
+        found = np.flatnonzero(y.any(0))
+        chance = np.zeros(y.shape, np.float32)
+        if len(found):
+            chance[:, found] = marginals(e[:, found], p["A"], y[:, found])
         for j, (i, s) in enumerate(some):
             n = min(m.width, len(ids[i]) - s)
             better = middle[:n] > edge[i][s : s + n]
             tag[i][s : s + n][better] = y[:n, j][better]
+            sure[i][s : s + n][better] = chance[:n, j][better]
             edge[i][s : s + n][better] = middle[:n][better]
-    out: list[list[Span]] = [[] for _ in texts]
+    out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     for i, y in tag.items():
         start = None
         for k in (*np.flatnonzero(y), len(y)):
             if start is not None and (k == len(y) or k > last + 1 or y[k] % 2 == 1 or (y[k] - 1) // 2 != (y[start] - 1) // 2):
-                out[i].append((KINDS[(y[start] - 1) // 2], int(start), int(last) + 1))
+                out[i].append((KINDS[(y[start] - 1) // 2], int(start), int(last) + 1, float(sure[i][start : last + 1].mean())))
                 start = None
             if k < len(y):
                 start = k if start is None else start
@@ -325,29 +397,40 @@ def decode(texts: list[str], p: dict[str, np.ndarray], m: Model) -> list[list[Sp
     return out
 
 
-EXACT = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?:(?:\.| ?\[dot\] ?)[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"),
-    "card": re.compile(r"[0-9]{4}(?:([ .-]?)[0-9]{4}){2}\1[0-9]{1,7}"),
-    "phone": re.compile(r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}"),
-}
+AT, DOT = re.compile(r"@|[\[({] ?at ?[\])}]", re.I), re.compile(r"\.|[\[({] ?dot ?[\])}]", re.I)
 
 
 def fits(kind: str, s: str) -> bool:
-    return bool(EXACT[kind].fullmatch(s)) and (kind != "card" or luhn(digits_of(s)))
-
-
-def added(text: str, found: list[Span], base: list[Span]) -> list[Span]:
-    """Decoded spans, trimmed of marks at their ends, that pass the exact check and touch no pattern span or longer run."""
+    """What a span must have besides the network's word."""
+    n = len(digits_of(s))
+    if kind == "email":
+        m = AT.search(s)
+        return bool(m and m.start() and DOT.search(s, m.end()))
+    if kind == "ip":
+        parts = s.split(".")
+        return len(parts) == 4 and all(x.isascii() and x.isdigit() and int(x) <= 255 for x in parts)
+    if any(c.isalpha() for c in s):
+        return False
+    return 13 <= n <= 19 and luhn(digits_of(s)) if kind == "card" else 7 <= n <= 15
+
+
+def added(text: str, found: list[tuple[str, int, int, float]], base: list[Span], m: Model = Model()) -> list[Span]:
+    """Decoded spans that are likely enough, whole words at both ends, fit their kind and touch no pattern span."""
     out = []
-    for kind, a, b in found:
-        while a < b and text[a] in " \n|,:;":
+    for kind, a, b, chance in found:
+        if chance < m.min_marginal:
+            continue
+        while a < b and not (text[a].isalnum() or text[a] in "(+"):
             a += 1
-        while a < b and text[b - 1] in " \n|,:;.":
+        while a < b and not (text[b - 1].isalnum() or text[b - 1] in ")]}" and kind == "email"):
             b -= 1
-        whole = not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
-        if whole and fits(kind, text[a:b]) and not any(x[1] < b and a < x[2] for x in base):
-            out.append((kind, a, b))
+        low, high = a, b
+        while low and a - low < 24 and text[low - 1].isalnum() and text[low].isalnum():
+            low -= 1
+        while high < len(text) and high - b < 24 and text[high - 1].isalnum() and text[high].isalnum():
+            high += 1
+        if fits(kind, text[low:high]) and not any(x[1] < high and low < x[2] for x in (*base, *out)):
+            out.append((kind, low, high))
     return out
 
 
@@ -359,14 +442,14 @@ OUT = pa.schema([("doc_id", pa.int64())] + [(f"n_{k}", pa.int64()) for k in KIND
 
 
 def scan(docs: DataFrame, m: Model = Model()) -> DataFrame:
-    params = trained(m)
+    params = fitted(docs.sparkSession, m)
 
     def rows(b: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {f.name: [] for f in OUT}
         texts = [t or "" for t in b["text"]]
         for doc_id, text, found in zip(b["doc_id"], texts, decode(texts, params, m)):
             base = base_spans(text)
-            more = added(text, found, base)
+            more = added(text, found, base, m)
             n = [sum(s[0] == k for s in base) for k in KINDS]
             for k, v in zip(out, (doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more))):
                 out[k].append(v)
