@@ -80,7 +80,7 @@ def test_recall_and_precision_on_forms_that_the_generator_does_not_make():
     p = P.trained(m)
     rng = random.Random(77)
     prose = lambda k: " ".join("".join(rng.choices("aeinorstdlhu", k=rng.randint(3, 8))) for _ in range(k))
-    for kind, least in (("card", 0.8), ("email", 0.5), ("phone", 0.6)):
+    for kind, least in (("card", 0.7), ("email", 0.7), ("phone", 0.7)):
         caught = 0
         for _ in range(120):
             s = held_out(rng, kind)
@@ -133,7 +133,7 @@ def test_weights_are_kept_in_the_shared_folder(spark):
 
 
 def test_rows_and_edge_cases(spark):
-    text = "é a.b@c.org 10.0.0.1 4111-1111-1111-1111 +1 (555) 123-4567 call (555) 987-6543 soon"
+    text = "é a.b@c.org 10.0.0.1 4539-1488-0343-6467 +1 (555) 123-4567 call (555) 987-6543 soon"
     rows = [(1, text), (2, None), (3, ""), (1, text), (4, "1" * 100_000), (5, "a" * 100_000 + "@")]
     got = P.scan(spark.createDataFrame(rows, SCHEMA).withColumn("spans", F.lit("clash"))).collect()
     assert len(got) == 6
