@@ -3,8 +3,10 @@
 1. One pass makes each document's distinct shingles (64-bit hashes); documents
    with equal sets are one class, stood for by the smallest doc_id.
 2. Shingles are counted over all classes.  Rows shuffled are compact blocks of
-   32-bit remainders by hash partition; only shingles of two or more classes
-   come back.  A class whose shingles of its own fill its prefix can link with
+   32-bit remainders by hash partition, a task for each; only shingles of two or
+   more classes come back.  Beyond ``slice`` classes a partition's blocks are dealt
+   in slices of the classes, counted apart and then together, so that a shingle of
+   every document takes a bounded part of any task.  A class whose shingles of its own fill its prefix can link with
    nothing and ends here; the others take their rarest shared shingles.
 3. Classes with the same prefix and size form a group.  Group pairs that share a
    prefix shingle pass the size and position filters and expand to members, whose
@@ -12,19 +14,22 @@
 4. In each shingle's list all members are first compared with one hub, the group
    in which the shingle stands earliest.  Then only pairs of members whose
    components still differ are compared, so that no link between components is
-   lost and large families of near copies are never paired off in full.
+   lost and large families of near copies are never paired off in full.  These
+   pairs are joined by shingle and range of size, long lists in pieces.
 
 Remainders may collide: that adds candidates, never a link, as sets are compared
 by their 64-bit hashes.  Nothing is broadcast but a filter of fixed size.
 
 Nulls and odd input: a null or blank text has no shingles and links with
-nothing; a text of fewer words than a shingle is one shingle; a row without
+nothing; very long texts are read whole, their sets held one at a time; of rows
+that tie for a component's id the smallest doc_id names it; a text of fewer words than a shingle is one shingle; a row without
 doc_id has a null component; repeated rows link with each other; extra columns
 are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,6 +50,8 @@ class Join:
     percent: int = 85  # least 100 * intersection / union
     block: int = 6_000_000  # shingles counted in one task
     least_blocks: int = 24
+    slice: int = 5_000_000  # classes whose shingles are counted together
+    piece: int = 4096  # groups of a shingle's list that are joined in one task
     filter_bits: int = 24  # log2 of the size of the filter of candidate ids
 
     @property
@@ -96,7 +103,7 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
 
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64())])
-BLOCK = pa.schema([("p", pa.int32()), ("classes", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())])
+BLOCK = pa.schema([("p", pa.int32()), ("s", pa.int32()), ("classes", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())])
 SHARED = pa.schema([("c", pa.int64()), ("shared", pa.binary())])
 PAIR = np.dtype([("count", "<u4"), ("token", "<u8")])
 PREFIX = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("tokens", pa.list_(pa.int64()))])
@@ -118,65 +125,123 @@ def document_sets(docs: DataFrame, p: Join) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, from_arrow_schema(SETS))
 
 
-def shingle_blocks(docs: DataFrame, p: Join, parts: int) -> DataFrame:
-    """Remainders of all shingles, by hash partition and batch; a class once a batch."""
+def shingle_blocks(docs: DataFrame, p: Join, parts: int, slices: int) -> DataFrame:
+    """Remainders of all shingles, by hash partition, slice of the classes and batch; a class once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
             seen: set[int] = set()
-            keys, sets = [], []
+            keys, sets = [[] for _ in range(slices)], [[] for _ in range(slices)]
             for text in b.column("text").to_pylist():
                 h = shingles(text, p.words, hashes)
                 if len(h) >= p.smallest and (c := set_key(h)[0]) not in seen:
                     seen.add(c)
-                    keys.append(c)
-                    sets.append(h)
-            if not keys:
+                    keys[c % slices].append(c)
+                    sets[c % slices].append(h)
+            rows = []
+            for s in range(slices):
+                if not keys[s]:
+                    continue
+                h = np.concatenate(sets[s])
+                cls = np.repeat(np.arange(len(keys[s]), dtype=np.int32), [len(x) for x in sets[s]])
+                part = (h % np.uint64(parts)).astype(np.int32)
+                rest = (h // np.uint64(parts)).astype(np.uint32)
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                all_keys = np.array(keys[s], np.int64)
+                for i in range(parts):
+                    at = order[ends[i] : ends[i + 1]]
+                    if len(at):
+                        own, size = np.unique(cls[at], return_counts=True)  # cls ascends within a part
+                        rows.append((i, s, all_keys[own].tobytes(), size.astype(np.uint32).tobytes(), rest[at].tobytes()))
+            if not rows:
                 continue
-            h = np.concatenate(sets)
-            cls = np.repeat(np.arange(len(keys), dtype=np.int32), [len(s) for s in sets])
-            part = (h % np.uint64(parts)).astype(np.int32)
-            rest = (h // np.uint64(parts)).astype(np.uint32)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1))
-            all_keys, rows = np.array(keys, np.int64), []
-            for i in range(parts):
-                at = order[ends[i] : ends[i + 1]]
-                if len(at):
-                    own, size = np.unique(cls[at], return_counts=True)  # cls ascends within a part
-                    rows.append((i, all_keys[own].tobytes(), size.astype(np.uint32).tobytes(), rest[at].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), BLOCK.types)], schema=BLOCK)
 
     return docs.select("text").mapInArrow(run, from_arrow_schema(BLOCK))
 
 
-def count_shared(key: tuple, t: pa.Table, parts: int) -> pa.Table:
-    """Of one hash partition: each class's shingles that another class has too, with their counts."""
-    cls = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("classes").to_pylist()])
-    size = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("sizes").to_pylist()])
-    tok = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("tokens").to_pylist()])
+def gathered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of some blocks, the class number of each shingle and the shingles; a class met in several batches counts once."""
+    cls, size, tok = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("classes", np.int64), ("sizes", np.uint32), ("tokens", np.uint32)))
     names, first, number = np.unique(cls, return_index=True, return_inverse=True)
     keep = np.zeros(len(cls), bool)
-    keep[first] = True  # a class met in several batches counts once
+    keep[first] = True
     own, keep = np.repeat(number.astype(np.int32), size), np.repeat(keep, size)
-    own, tok = own[keep], tok[keep]
+    return names, own[keep], tok[keep]
+
+
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and its length."""
+    start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(ordered)))
+
+
+def by_class(names: np.ndarray, own: np.ndarray, tok: np.ndarray, count: np.ndarray, p: int, parts: int) -> pa.Table:
+    """A row a class: its shared shingles with their counts."""
+    out = np.empty(len(tok), PAIR)
+    order = np.argsort(own, kind="stable")
+    out["count"], out["token"] = count[order], tok[order].astype(np.uint64) * np.uint64(parts) + np.uint64(p)
+    own = own[order]
+    start, size = runs(own)
+    data, w = out.tobytes(), PAIR.itemsize
+    return pa.Table.from_arrays([pa.array(names[own[start]], pa.int64()), pa.array([data[a * w : (a + n) * w] for a, n in zip(start.tolist(), size.tolist())], pa.binary())], schema=SHARED)
+
+
+def count_shared(key: tuple, t: pa.Table, parts: int) -> pa.Table:
+    """Of one hash partition: each class's shingles that another class has too, with their counts."""
+    names, own, tok = gathered(t)
     order = np.argsort(tok, kind="stable")
     tok, own = tok[order], own[order]
-    start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.array([], int)
-    count = np.diff(np.append(start, len(tok)))
+    count = runs(tok)[1]
     count = np.repeat(count, count)
     several = count > 1
-    tok, own, count = tok[several], own[several], count[several]
-    out = np.empty(len(tok), PAIR)
-    order = np.argsort(own, kind="stable")
-    out["count"], out["token"] = count[order], tok[order].astype(np.uint64) * np.uint64(parts) + np.uint64(key[0].as_py())
-    own = own[order]
-    start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.array([], int)
-    ends = np.append(start[1:], len(own))
-    data = out.tobytes()
-    w = PAIR.itemsize
-    return pa.Table.from_arrays([pa.array(names[own[start]], pa.int64()), pa.array([data[a * w : b * w] for a, b in zip(start.tolist(), ends.tolist())], pa.binary())], schema=SHARED)
+    return by_class(names, own[several], tok[several], count[several], key[0].as_py(), parts)
+
+
+COUNTED = pa.schema([("p", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
+
+
+def count_slice(key: tuple, t: pa.Table) -> pa.Table:
+    """Distinct shingles of one slice and how many of its classes have each."""
+    tok = np.sort(gathered(t)[2])
+    start, count = runs(tok)
+    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([tok[start].tobytes()], pa.binary()), pa.array([count.astype(np.uint32).tobytes()], pa.binary())], schema=COUNTED)
+
+
+def add_slices(key: tuple, t: pa.Table) -> pa.Table:
+    """Shingles of two or more classes over all slices, ascending, and their counts."""
+    tok, n = (np.concatenate([np.frombuffer(x, np.uint32) for x in t.column(c).to_pylist()]) for c in ("tokens", "counts"))
+    order = np.argsort(tok, kind="stable")
+    tok, n = tok[order], n[order].astype(np.int64)
+    start, _ = runs(tok)
+    total = np.add.reduceat(n, start) if len(start) else n
+    several = total > 1
+    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([tok[start][several].tobytes()], pa.binary()), pa.array([np.minimum(total[several], 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], schema=COUNTED)
+
+
+def shared_of_slice(key: tuple, t: pa.Table, counted: pa.Table, parts: int) -> pa.Table:
+    """As ``count_shared``, for one slice and the counts over all of them."""
+    if not len(t):
+        return SHARED.empty_table()
+    names, own, tok = gathered(t)
+    every, n = (np.frombuffer(counted.column(c)[0].as_py(), np.uint32) for c in ("tokens", "counts"))
+    at = np.minimum(np.searchsorted(every, tok), max(0, len(every) - 1))
+    several = every[at] == tok if len(every) else np.zeros(len(tok), bool)
+    return by_class(names, own[several], tok[several], n[at[several]], key[0].as_py(), parts)
+
+
+def shared_shingles(docs: DataFrame, p: Join, total: int, classes: int) -> DataFrame:
+    """``c, shared``: the shingles of each class that another class has too; a class has a row a hash partition."""
+    parts, slices = max(p.least_blocks, -(-total // p.block)), max(1, -(-classes // p.slice))
+    blocks = shingle_blocks(docs, p, parts, slices)
+    if slices == 1:
+        return blocks.repartition(parts, "p").groupBy("p").applyInArrow(lambda key, t: count_shared(key, t, parts), from_arrow_schema(SHARED))
+    blocks = materialise(blocks, "jaccard-blocks").repartition(parts * slices, "p", "s")
+    counted = blocks.groupBy("p", "s").applyInArrow(count_slice, from_arrow_schema(COUNTED)).repartition(parts, "p").groupBy("p").applyInArrow(add_slices, from_arrow_schema(COUNTED))
+    counted = materialise(counted, "jaccard-counted").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<int>"))).repartition(parts * slices, "p", "s")
+    return blocks.groupBy("p", "s").cogroup(counted.groupBy("p", "s")).applyInArrow(lambda key, a, b: shared_of_slice(key, a, b, parts), from_arrow_schema(SHARED))
 
 
 def prefixes(classes: DataFrame, shared: DataFrame, p: Join) -> DataFrame:
@@ -251,11 +316,9 @@ def verified(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
     return x.where(100 * F.col("common") >= p.percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, p: Join, total: int) -> DataFrame | None:
+def link_classes(docs: DataFrame, classes: DataFrame, p: Join, total: int, number: int) -> DataFrame | None:
     """``node, root`` of the classes that link with another one."""
-    parts = max(p.least_blocks, -(-total // p.block))
-    blocks = shingle_blocks(docs, p, parts)
-    shared = blocks.groupBy("p").applyInArrow(lambda key, t: count_shared(key, t, parts), from_arrow_schema(SHARED))
+    shared = shared_shingles(docs, p, total, number)
     found = materialise(prefixes(classes.where(F.col("n") >= p.smallest), shared, p), "jaccard-prefixes")
 
     groups = found.groupBy("n", "key").agg(F.min("rep").alias("g"), F.count("*").alias("members"))
@@ -281,13 +344,17 @@ def link_classes(docs: DataFrame, classes: DataFrame, p: Join, total: int) -> Da
     whole = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("side"))  # null: several
     lists = lists.select("token", "g", "n", "pos").join(whole, "g")
     per_side = lists.groupBy("token", "side").agg(F.count("*").alias("m"))
-    main = per_side.groupBy("token").agg(F.max(F.struct(F.when(F.col("side").isNull(), 0).otherwise(F.col("m")).alias("k"), "side")).alias("top"), F.count("*").alias("sides"), F.count_if(F.col("side").isNull()).alias("mixed"))
-    live = main.where("sides > 1 or mixed > 0").select("token", F.col("top.side").alias("top"))
-    lists = materialise(lists.join(live, "token"), "jaccard-open")
+    main = per_side.groupBy("token").agg(F.max(F.struct(F.when(F.col("side").isNull(), 0).otherwise(F.col("m")).alias("k"), "side")).alias("top"), F.count("*").alias("sides"), F.count_if(F.col("side").isNull()).alias("mixed"), F.sum("m").alias("all"))
+    pieces = F.greatest(F.ceil(F.col("all") / p.piece), F.lit(1)).cast("int")
+    live = main.where("sides > 1 or mixed > 0").select("token", F.col("top.side").alias("top"), pieces.alias("pieces"))
+    band = F.floor(F.log("n") / (-1.001 * math.log(min(p.percent, 99) / 100))).cast("int")  # sets of sizes two bands apart cannot link
+    lists = materialise(lists.join(live, "token").withColumn("band", band).withColumn("piece", F.pmod(F.xxhash64("g"), F.col("pieces")).cast("int")), "jaccard-open")
     few = lists.where("side is null or top is null or side <> top")  # all but the largest component of the list
+    few = few.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     x, y = few.alias("x"), lists.alias("y")
     differ = F.col("x.side").isNull() | F.col("y.side").isNull() | (F.col("x.side") != F.col("y.side"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") != F.col("y.g")) & differ & may_link(p, "x", "y"))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "band", "piece")]
+    pairs = x.join(y, same[0] & same[1] & same[2] & (F.col("x.g") != F.col("y.g")) & differ & may_link(p, "x", "y"))
     pairs = pairs.select(F.least("x.g", "y.g").alias("a"), F.greatest("x.g", "y.g").alias("b")).union(placed.join(whole.where("side is null"), "g", "left_semi").where("members > 1").select(F.col("g").alias("a"), F.col("g").alias("b"))).distinct()
     one, two = placed.select(F.col("g").alias("a"), F.col("rep").alias("ra"), F.col("root").alias("oa")), placed.select(F.col("g").alias("b"), F.col("rep").alias("rb"), F.col("root").alias("ob"))
     apart = (F.col("oa") != F.col("ob")) & ((F.col("a") != F.col("b")) | (F.col("ra") < F.col("rb")))
@@ -303,8 +370,8 @@ def components(docs: DataFrame, p: Join = Join()) -> DataFrame:
     each = materialise(document_sets(docs, p), "jaccard-documents")
     some = each.where("n > 0 and doc_id is not null")
     classes = materialise(some.groupBy("c", "c2", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    total = classes.agg(F.sum("n").alias("n")).first().n or 0
-    roots = link_classes(docs, classes, p, total)
+    size = classes.agg(F.sum("n").alias("n"), F.count("*").alias("classes")).first()
+    roots = link_classes(docs, classes, p, size.n or 0, size.classes)
     classes = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("c", "c2", "n", F.coalesce("root", "rep").alias("component_id"))
     linked = some.join(classes, ["c", "c2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(each.where("n = 0 or doc_id is null").select("doc_id", "n", "doc_id"))

@@ -30,8 +30,8 @@ def brute(rows):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def run(spark, rows):
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in J.components(spark.createDataFrame(rows, SCHEMA).withColumn("n", F.lit("x")).withColumn("hashes", F.lit(1))).collect()}
+def run(spark, rows, p=J.Join()):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in J.components(spark.createDataFrame(rows, SCHEMA).withColumn("n", F.lit("x")).withColumn("hashes", F.lit(1)), p).collect()}
 
 
 def edited(rng, words, edits):
@@ -66,6 +66,16 @@ def test_family_without_its_original_and_large_groups(spark):
     rows += [" ".join(w for k in rng.sample(range(12), 6) for w in shared[k]) for _ in range(60)]
     rows = list(enumerate(rows))
     assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, J.Join(slice=40, piece=3, least_blocks=3)) == brute(rows)  # counted in slices, lists in pieces
+
+
+def test_boilerplate_in_many_small_families(spark):
+    """One shingle list holds them all, and most of its pairs do not link."""
+    rng = random.Random(15)
+    line = "all rights reserved by the owner of this text and its heirs"
+    bases = [[f"u{i}.{j}" for j in range(rng.choice((12, 13, 14, 40)))] for i in range(30)]
+    rows = list(enumerate(line + " " + " ".join(edited(rng, b, rng.choice((0, 1)))) for b in bases for _ in range(3)))
+    assert run(spark, rows, J.Join(slice=25, piece=4, least_blocks=2)) == brute(rows)
 
 
 def test_chain_reaches_the_smallest_id(spark):
