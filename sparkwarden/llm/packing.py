@@ -8,10 +8,13 @@ one stream of ids that is cut every ``size`` ids.  The last, shorter stretch is
 cut at falling powers of two, which need no padding.
 
 Positions come from per-partition totals: one row a partition is broadcast, and
-there are at most ``most_parts`` of them.
+there are at most ``most_parts`` of them.  Beyond ``most_parts * part`` ids the
+partitions grow: they are sorted on disk and read in batches, so memory stays
+bounded, and no row is left out.
 
 Nulls and odd input: a null or empty text is the end id alone; very long texts
-span many sequences; repeated rows are packed each; a null doc_id is kept; extra
+span many sequences; documents of equal key are ordered by a hash of doc_id and ids,
+then doc_id; repeated rows are packed each; a null doc_id is kept; extra
 columns are ignored; an empty table gives an empty result.
 """
 

@@ -7,8 +7,12 @@ automaton.  Every candidate string is scored by its log likelihood under each
 automaton against a background of ordinary text; the best one above the
 thresholds adds a span.  Spans of the patterns always stay.
 
+A candidate is a run of 16 or more letters, digits and ``+/_=.-``, of any length.
+
 Nulls and odd input: a null text is empty and has no spans; very long texts are
-scanned whole in linear time; repeated rows give repeated rows; extra columns
+scanned whole in linear time; of formats with equal likelihood the first by name of
+the kinds is taken, and spans that start together are ordered by kind; a null
+doc_id is kept; repeated rows give repeated rows; extra columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -29,7 +33,7 @@ from .common import arrow_map, table
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones need no match
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}+")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+")
 KINDS = ("assign", "access", "hex", "format")
 
 Span = tuple[str, int, int]
@@ -169,12 +173,21 @@ def learn(strings: list[str], alpha: float = 0.01, least: int = 12) -> Automaton
 
 
 def labelled_credentials(per_kind: int, seed: int = 11) -> dict[str, list[str]]:
-    """Made-up credentials of widely documented formats, and ordinary long strings as ``ordinary``."""
+    """Made-up credentials of widely documented formats, and ordinary long strings under names that begin with ``ordinary``."""
     rng = random.Random(seed)
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     r = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
     b64 = low + up + num
     word = lambda: r(low, rng.randint(2, 9))
+
+    def ordinary() -> str:
+        """Names, paths and long words in lower, upper or title case."""
+        case = rng.choice((str.lower, str.upper, str.title, lambda x: rng.choice((x, x.title()))))
+        number = lambda: r(num, rng.randint(1, 4))
+        parts = [case(rng.choice((word, word, word, word, number))()) for _ in range(rng.randint(3, 9))]
+        x = rng.choice(("-", "_", ".", "/", "", "")).join(parts)
+        return x if len(x) > 12 else x + case(word() + word())
+
     makers = {
         "github": lambda: rng.choice(("ghp_", "gho_", "ghs_")) + r(b64, 36),
         "slack": lambda: rng.choice(("xoxb-", "xoxp-")) + r(num, 12) + "-" + r(num, 12) + "-" + r(b64, 24),
@@ -183,7 +196,8 @@ def labelled_credentials(per_kind: int, seed: int = 11) -> dict[str, list[str]]:
         "jwt": lambda: ".".join(("eyJ" + r(b64, 33), "eyJ" + r(b64 + "_-", 60), r(b64 + "_-", 43))),
         "base64": lambda: r(b64 + "+/", 40),
         "uppercase": lambda: r(up + num, 32),
-        "ordinary": lambda: rng.choice(("-", "_", ".", "/", "")).join(rng.choice((word, word, word, lambda: word().title(), lambda: r(num, rng.randint(1, 4))))() for _ in range(rng.randint(3, 9))),
+        "ordinary words": ordinary,
+        "ordinary identifiers": lambda: "-".join(r(num + "abcdef", n) for n in (8, 4, 4, 4, 12)),
     }
     return {k: [m() for _ in range(per_kind)] for k, m in makers.items()}
 
@@ -204,8 +218,10 @@ def automata(p: Formats) -> dict[str, Automaton]:
 def format_of(candidate: str, known: dict[str, Automaton], p: Formats) -> str | None:
     """Name of the likeliest format, or None."""
     symbols = "".join(map(symbol, candidate))
-    kind, best = max(((k, a.score(symbols)) for k, a in known.items() if k != "ordinary"), key=lambda x: x[1])
-    return kind if best >= p.min_per_char * len(symbols) and best - known["ordinary"].score(symbols) >= p.min_ratio else None
+    scores = {k: a.score(symbols) for k, a in known.items()}
+    kind, best = max(((k, x) for k, x in scores.items() if not k.startswith("ordinary")), key=lambda x: x[1])
+    plain = max(x for k, x in scores.items() if k.startswith("ordinary"))
+    return kind if best >= p.min_per_char * len(symbols) and best - plain >= p.min_ratio else None
 
 
 def format_spans(text: str, known: dict[str, Automaton], p: Formats) -> list[Span]:

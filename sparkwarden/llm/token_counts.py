@@ -10,7 +10,9 @@ Sections are the lines of a text, each with its line end, or the fields of a row
 joined by a blank line.
 
 Nulls and odd input: a null or empty text is one empty section without tokens;
-very long texts are encoded whole; repeated rows give repeated rows; extra
+very long texts are encoded whole, in memory of their own size; a token that ends
+just where a section ends does not cross; a null doc_id is kept; repeated rows give
+repeated rows; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,12 @@ class Encoder:
         return np.concatenate((np.zeros(1, np.int64), ends))[:-1], ends
 
 
+@lru_cache(2)
+def encoder(p: Attribution) -> Encoder:
+    """One of a process."""
+    return Encoder(p)
+
+
 def allocate(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each section ``bounds[k]..bounds[k + 1]`` and how many of those that start there cross its end."""
     n = len(bounds) - 1
@@ -83,7 +92,7 @@ def count(docs: DataFrame, p: Attribution = Attribution()) -> DataFrame:
     """``doc_id, section, start, end, n_tokens, n_crossing, doc_tokens`` from ``doc_id, parts``; code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(p)
+        enc = encoder(p)
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 b = whole.slice(at, 1000)

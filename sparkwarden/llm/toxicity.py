@@ -10,10 +10,15 @@ clause, its number of matching clauses and their share.
 
 Insult words, stems and the logistic function are learned from labelled rows:
 at most ``Fit.rows`` of them, those with the smallest hash of doc_id, equal
-texts once.  Only doc_ids choose rows; they are no input of a score.
+texts once.  Only doc_ids choose rows; they are no input of a score.  All words of
+these rows that tell toxic texts apart are learned, so their number is bounded by
+the rows.  The other symbols are those of four languages, looked up alike in every
+text, as lang is no input.
 
 Nulls and odd input: a null text is empty and gets the score of a text without
-matches; very long texts are read whole; repeated rows give repeated rows;
+matches; very long texts are read whole; of equal words in two lists the learned
+one counts; a score equal to the threshold is predicted toxic; repeated rows give
+repeated rows;
 labels without document or with a null label are left out; without any labels
 of one kind, scores fall back on the built-in words; extra columns are ignored;
 an empty table gives an empty result.
@@ -36,13 +41,38 @@ from .common import arrow_map, table
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.,;:!?\n\"]")
 BREAKS = frozenset(".,;:!?\n")
 
-# Built-in symbols; learned words are added as insults.
+# Built-in symbols in English, German, French and Spanish; learned words are added as insults.
 WORDS = {
-    "insult": "idiot moron stupid pathetic worthless disgusting scum loser trash clown",
-    "threat": "kill hurt destroy punch burn stab shoot beat strangle",
-    "target": "you your yours he she they him her them his their we these those people",
-    "negation": "not never no isn't aren't wasn't weren't don't doesn't didn't without neither nor",
-    "report": "said says say wrote writes called calls claimed claims quoted quotes reported reports",
+    "insult": (
+        "idiot moron stupid pathetic worthless disgusting scum loser trash clown "
+        "idioten dumm dumme dummkopf wertlos abschaum widerlich versager "
+        "idiote stupide minable déchet dégoûtant ordure "
+        "idiota estúpido estúpida inútil basura asqueroso escoria"
+    ),
+    "threat": (
+        "kill hurt destroy punch burn stab shoot beat strangle "
+        "töte töten umbringen schlage schlagen verletzen vernichten verbrennen "
+        "tuer tuerai frapper blesser détruire brûler "
+        "matar mataré golpear herir destruir quemar"
+    ),
+    "target": (
+        "you your yours he she they him her them his their we these those people "
+        "du dich dir dein deine ihr euch euer sie ihnen "
+        "tu toi vous votre vos ils elles eux "
+        "tú ti usted ustedes vosotros ellos ellas"
+    ),
+    "negation": (
+        "not never no isn't aren't wasn't weren't don't doesn't didn't without neither nor "
+        "nicht kein keine keinen keiner nie niemals ohne weder noch "
+        "pas jamais sans aucun aucune "
+        "nunca ningún ninguna tampoco jamás"
+    ),
+    "report": (
+        "said says say wrote writes called calls claimed claims quoted quotes reported reports "
+        "sagte sagt schrieb schreibt nannte nennt behauptet behauptete zitiert "
+        "disait écrit écrivait appelle appelait prétend affirme "
+        "dijo dice escribió escribe llamó llama afirma afirmó"
+    ),
 }
 
 
@@ -103,7 +133,6 @@ class Fit:
     rows: int = 12_000
     least: int = 5  # labelled texts that hold a learned word
     ratio: float = 20.0  # its rate among toxic texts over that among others
-    words: int = 600
     stems: tuple[int, ...] = (4, 5, 6)
     stem_least: int = 12
     threshold: float = 0.3
@@ -158,7 +187,7 @@ def clause_weights(text: str | None, words: Lexicon) -> tuple[list[float], int]:
 
 def features(text: str | None, words: Lexicon) -> tuple[float, float, float]:
     w, n = clause_weights(text, words)
-    return (0.0, 0.0, 0.0) if not w else (min(max(w), 12.0), math.log1p(len(w)), math.log1p(100 * sum(w) / (n + 20)))
+    return (0.0, 0.0, 0.0) if not w else (math.log1p(max(w)), math.log1p(len(w)), math.log1p(100 * sum(w) / (n + 20)))
 
 
 def logistic(X: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
@@ -190,13 +219,13 @@ def fit(docs: DataFrame, labels: DataFrame, f: Fit = Fit()) -> Grammar:
         n = sample.agg(F.sum("toxic").alias("pos"), F.count("*").alias("all")).first()
         pos, neg = n["pos"] or 0.0, n["all"] - (n["pos"] or 0.0)
         if not pos or not neg:
-            return Grammar(base, {}, (0.5, 0.5, 0.2, -3.5))
+            return Grammar(base, {}, (1.25, 0.5, 0.2, -3.5))
         words = sample.select("toxic", F.monotonically_increasing_id().alias("_i"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))).alias("w"))
 
         def lifted(unit: DataFrame, least: int):
             c = unit.groupBy("w").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).withColumn("q", F.col("n") - F.col("p"))
             ratio = (F.col("p") / pos) / ((F.col("q") + 0.5) / neg)
-            return c.where((F.col("p") >= least) & (ratio >= f.ratio) & (F.col("q") <= 0.1 * F.col("p"))).withColumn("x", F.log(ratio)).orderBy(F.desc("x"), "w").limit(f.words).collect()
+            return c.where((F.col("p") >= least) & (ratio >= f.ratio) & (F.col("q") <= 0.1 * F.col("p"))).withColumn("x", F.log(ratio)).collect()
 
         learned = {r.w: min(5.0, r.x) for r in lifted(words, f.least)}
         cut = words.withColumn("k", F.explode(F.array(*map(F.lit, f.stems)))).where(F.length("w") > F.col("k"))

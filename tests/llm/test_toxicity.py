@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm import toxicity as T
 
-G = T.Grammar({w: 3.0 for w in T.WORDS["insult"].split()}, {"glorp": 3.0}, (0.5, 0.5, 0.2, -3.5))
+G = T.Grammar({w: 3.0 for w in T.WORDS["insult"].split()}, {"glorp": 3.0}, (1.25, 0.5, 0.2, -3.5))
 
 
 def weights(text):
