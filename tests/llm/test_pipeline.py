@@ -62,3 +62,31 @@ def test_rows_without_or_with_a_shared_doc_id_are_judged_one_by_one(spark):
     assert left.columns == docs.columns
     got = sorted((str(r.doc_id), r.text) for r in left.collect() if (r.doc_id or 0) < 10)
     assert got == sorted([("None", a), ("None", b), ("1", c), ("1", d)]) and left.count() == 34
+
+
+def test_rows_are_accounted_for_through_all_stages(spark, tmp_path):
+    """Null and repeated ids, null and very long texts and a clashing column: what goes in is kept or has a reason to go."""
+    rng = random.Random(21)
+    common = "the of and to in is was that for with".split()
+    prose = lambda n=120: " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("aeinorstlhd", k=6)) for _ in range(n))
+    item, copy, shared = prose(30), prose(), prose()
+    clean = [(i, prose()) for i in range(100, 140)] + [(None, prose()), (None, prose()), (7, prose()), (7, prose()), (50, prose(8000))]
+    rejected = [(None, "too short"), (7, None), (8, ""), (9, "same line here\n" * 30)]
+    repeated = [(1, copy), (2, copy), (2, copy + " end"), (3, "of " + copy)]  # one of them stays
+    without_id = [(None, shared), (None, shared)]  # both stay
+    leaked = [(None, prose(40) + " " + item + " " + prose(40)), (7, item + " " + prose(60)), (60, prose(60) + " " + item)]
+    rows = clean + rejected + repeated + without_id + leaked
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, item_id string")
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        at = spark.createDataFrame(at.collect(), docs.schema)
+        left.append(at.count())
+    kept = len(rows) - len(rejected)
+    assert left == [kept, kept - 3, kept - 3 - len(leaked), kept - 3 - len(leaked)]
+    assert sorted((str(r.doc_id), r.text) for r in at.collect()) == sorted((str(i), t) for i, t in clean + without_id + [(1, copy)])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.start == 0 for r in packed) == left[-1]
