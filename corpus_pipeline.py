@@ -5,7 +5,14 @@
 3. benchmark decontamination: documents with a passage of the benchmark go;
 4. secret scans: secrets are replaced by a mark, documents stay;
 5. packing: the rest is cut into sequences.
-"""
+
+Every stage decides by row: a row without doc_id, or one that shares its doc_id with
+another text, is a document of its own.  Stage 1 drops null, empty and very short
+texts as the rules do; stage 2 drops repeated rows and leaves all rows without doc_id;
+stage 3 judges each row by its own text; stage 4 changes texts and drops nothing;
+stage 5 packs every row that is left.  Very long texts are read whole; among equal
+copies the one with the smallest doc_id stays; extra columns are carried through to
+stage 4; empty tables give empty results."""
 
 from __future__ import annotations
 
