@@ -232,15 +232,18 @@ def shared_of_slice(key: tuple, t: pa.Table, counted: pa.Table, parts: int) -> p
     return by_class(names, own[several], tok[several], n[at[several]], key[0].as_py(), parts)
 
 
+SPARE = 4  # tasks a block: more than there are blocks, so that few blocks meet in one task by their hash
+
+
 def shared_shingles(docs: DataFrame, p: Join, total: int, classes: int) -> DataFrame:
     """``c, shared``: the shingles of each class that another class has too; a class has a row a hash partition."""
     parts, slices = max(p.least_blocks, -(-total // p.block)), max(1, -(-classes // p.slice))
     blocks = shingle_blocks(docs, p, parts, slices)
     if slices == 1:
-        return blocks.repartition(parts, "p").groupBy("p").applyInArrow(lambda key, t: count_shared(key, t, parts), from_arrow_schema(SHARED))
-    blocks = materialise(blocks, "jaccard-blocks").repartition(parts * slices, "p", "s")
+        return blocks.repartition(SPARE * parts, "p").groupBy("p").applyInArrow(lambda key, t: count_shared(key, t, parts), from_arrow_schema(SHARED))
+    blocks = materialise(blocks, "jaccard-blocks").repartition(SPARE * parts * slices, "p", "s")
     counted = blocks.groupBy("p", "s").applyInArrow(count_slice, from_arrow_schema(COUNTED)).repartition(parts, "p").groupBy("p").applyInArrow(add_slices, from_arrow_schema(COUNTED))
-    counted = materialise(counted, "jaccard-counted").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<int>"))).repartition(parts * slices, "p", "s")
+    counted = materialise(counted, "jaccard-counted").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<int>"))).repartition(SPARE * parts * slices, "p", "s")
     return blocks.groupBy("p", "s").cogroup(counted.groupBy("p", "s")).applyInArrow(lambda key, a, b: shared_of_slice(key, a, b, parts), from_arrow_schema(SHARED))
 
 
