@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -56,11 +56,13 @@ def candidates(line: str, threshold: float) -> Iterator[tuple[str, str, float, i
                 yield m[1], m[3], round(bits, 2), m.start(3)
 
 
-def assignments(files: DataFrame) -> DataFrame:
-    """``path, line, k, name, value, line_text`` of every assignment, natively: line by line, k-th on its line."""
-    lines = files.select("path", F.posexplode(text.lines(F.col("text"))).alias("i", "line_text")).where(F.col("line_text").rlike(ASSIGNMENT))
-    group = lambda k: F.regexp_extract_all("line_text", F.lit(ASSIGNMENT), F.lit(k))
-    return lines.select("path", (F.col("i") + 1).alias("line"), "line_text", F.posexplode(F.arrays_zip(group(1).alias("name"), group(3).alias("value"))).alias("k", "z")).select("path", "line", "k", "z.name", "z.value", "line_text")
+def assignments(files: DataFrame, pattern: str = ASSIGNMENT, groups: tuple[int, int] = (1, 3), split: Callable[[Column], Column] = text.lines) -> DataFrame:
+    """``path, line, k, name, value, line_text`` of every assignment, natively: line by line, k-th on its line.
+
+    ``groups`` of ``pattern`` hold name and value; ``split`` makes lines of a text."""
+    lines = files.select("path", F.posexplode(split(F.col("text"))).alias("i", "line_text")).where(F.col("line_text").rlike(pattern))
+    group = lambda k: F.regexp_extract_all("line_text", F.lit(pattern), F.lit(k))
+    return lines.select("path", (F.col("i") + 1).alias("line"), "line_text", F.posexplode(F.arrays_zip(group(groups[0]).alias("name"), group(groups[1]).alias("value"))).alias("k", "z")).select("path", "line", "k", "z.name", "z.value", "line_text")
 
 
 def gates(rows: DataFrame, threshold: float = 4.0) -> DataFrame:
