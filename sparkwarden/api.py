@@ -119,7 +119,7 @@ def with_native(files: DataFrame, rules: list[Rule], config: ScanConfig) -> Data
     Secrets of a file are masked in all its findings, so a file must go to one
     engine as a whole: ``scan_files`` sends those that the other rules or the
     entropy search may match to the pass, with all rules."""
-    x = native.findings(files, rules)
+    x = native.findings(files, rules, config.number_by_line)
     comments = suppress.table(files.where("reason = ''").withColumn("path", F.col("relpath")))
     x = suppress.apply(x, comments) if config.suppressions else x.withColumn("suppressed", F.lit(False)).withColumn("suppressed_by", F.lit(""))
     return x.withColumn("name", F.lit("")).withColumn("bits", F.lit(0.0)).withColumn("size", F.lit(0)).select(*match.RAW.names)

@@ -92,7 +92,7 @@ class Matcher:
                     h = self.build(ENTROPY_RULE, rows, n, column, text.mask_text(value), value, secrets)
                     h.name, h.bits, h.size = name, bits, len(value)
                     out.append(h)
-        return self.finish(out, secrets)
+        return self.finish(out, secrets, self.config.number_by_line)
 
     @staticmethod
     def build(rule_id: str, rows: list[str], line: int, column: int, match: str, secret: str, secrets: dict[str, None]) -> Hit:
@@ -110,7 +110,7 @@ class Matcher:
         return Hit(rule_id, line, max(0, column), flat[: text.MAX_MATCH], shown, context)
 
     @staticmethod
-    def finish(hits: list[Hit], secrets: dict[str, None]) -> list[Hit]:
+    def finish(hits: list[Hit], secrets: dict[str, None], by_line: bool = False) -> list[Hit]:
         seen: dict[tuple[str, str], int] = {}
         best: dict[tuple[str, int], Hit] = {}
         for h in hits:
@@ -119,6 +119,11 @@ class Matcher:
             kept = best.setdefault((h.rule_id, h.line), h)
             if len(h.match) > len(kept.match):
                 best[h.rule_id, h.line] = h
+        if by_line:  # numbered anew, without the matches that their line leaves out
+            seen.clear()
+            for h in sorted(best.values(), key=lambda h: h.line):
+                h.occurrence = seen.get((h.rule_id, h.match), 0)
+                seen[h.rule_id, h.match] = h.occurrence + 1
         forms = {f: text.mask_text(s) for s in secrets for f in (text.collapse(s), s) if f}
         for form in sorted(forms, key=lambda f: (-len(f), f)):
             for h in best.values():

@@ -81,9 +81,9 @@ def placed(files: DataFrame, rules: list[Rule]) -> DataFrame:
     return raw_matches(files, rules, lines=True).where(~veto).withColumn("snippet", text.strip(F.col("shown"))).drop("shown")
 
 
-def occurrences(x: DataFrame) -> DataFrame:
-    """Number of the same match of a rule in a file, before any are dropped."""
-    return x.withColumn("occurrence", (F.row_number().over(W.partitionBy("relpath", "rule_id", "match").orderBy("pattern_idx", "start")) - 1).cast("int"))
+def occurrences(x: DataFrame, *order: str) -> DataFrame:
+    """Number of the same match of a rule in a file, among the given rows."""
+    return x.withColumn("occurrence", (F.row_number().over(W.partitionBy("relpath", "rule_id", "match").orderBy(*order)) - 1).cast("int"))
 
 
 def one_per_line(x: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def masked(x: DataFrame) -> DataFrame:
     return x.withColumns({"match": text.mask_all(F.col("match"), F.col("secrets")), "snippet": text.mask_all(F.col("snippet"), F.col("secrets")), "context": F.transform("context", lambda c: text.mask_all(c, F.col("secrets")))}).drop("secrets")
 
 
-def findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
+def findings(files: DataFrame, rules: list[Rule], by_line: bool = False) -> DataFrame:
     """``rule_id, path, language, line, column, match, snippet, context, occurrence, fingerprint``."""
     x = placed(files, rules)
     credentials = [r.id for r in rules if r.category == "secrets"]
@@ -106,7 +106,8 @@ def findings(files: DataFrame, rules: list[Rule]) -> DataFrame:
     own = F.when(F.col("secret").isNull(), F.array().cast("array<string>")).otherwise(F.array("secret"))
     flat = F.substring(text.mask_all(text.flat(F.col("match")), own), 1, text.MAX_MATCH)
     x = x.withColumns({"match": flat, "snippet": text.mask_all(F.col("snippet"), own), "context": F.transform("context", lambda c: text.mask_all(c, own))})
-    x = occurrences(x.repartition("relpath"))  # one exchange serves all windows
-    x = x.withColumn("secrets", F.collect_set("secret").over(W.partitionBy("relpath")))
-    x = masked(one_per_line(x))
+    x = x.repartition("relpath")  # one exchange serves all windows
+    x = x if by_line else occurrences(x, "pattern_idx", "start")
+    x = one_per_line(x.withColumn("secrets", F.collect_set("secret").over(W.partitionBy("relpath"))))
+    x = masked(occurrences(x, "line") if by_line else x)
     return x.withColumn("fingerprint", text.fingerprint(F.col("rule_id"), F.col("relpath"), F.col("match"), F.col("occurrence"))).select("rule_id", F.col("relpath").alias("path"), "language", "line", "column", "match", "snippet", "context", "occurrence", "fingerprint")

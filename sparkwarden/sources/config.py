@@ -72,6 +72,7 @@ class ScanConfig:
     baseline: str | None = None
     state_dir: str = ".sparkwarden"
     match_engine: str = "python"
+    number_by_line: bool = False  # occurrences count findings, one a line, not all matches
     source: str | None = None
 
     @property

@@ -143,3 +143,12 @@ def test_many_matches_in_one_text(spark):
     body = "x1 é\n" * 3000 + "x2"
     got = spark.createDataFrame([(body,)], "t string").select(regex.finditer(F.col("t"), regex.to_java(r"x\d")).alias("f")).first().f
     assert [(m.start, m.feeds, m.column) for m in got] == [(5 * i, i, 0) for i in range(3001)]
+
+
+def test_engines_number_findings_by_line(spark):
+    rules = [r for r in R.load() if r.id in ("docker.secret-in-build-arg", "python.hardcoded-password-argument")]
+    rows = [("Dockerfile", "FROM node\n" + f"ENV API_TOKEN={SECRET} API_TOKEN={SECRET}\n" * 2), ("a.py", f"login(password='{SECRET}', password='{SECRET}')\n" * 3)]
+    key = lambda r: (r.path, r.rule_id, r.line, r.match, r.occurrence, r.fingerprint)
+    df = table(spark, rows)
+    a, b = native.findings(df, rules, by_line=True).collect(), match.raw_findings(df, rules, ScanConfig(entropy=False, suppressions=False, number_by_line=True)).collect()
+    assert sorted(map(key, a)) == sorted(map(key, b)) and [r.occurrence for r in sorted(a, key=key) if r.path == "a.py"] == [0, 1, 2]
