@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import materialise, table
+from .common import materialise, table, tidy
 
 BLANK = 32
 PUNCTUATION = b".,;:!?\"'()[]{}<>|*#$%&-"
@@ -71,7 +71,8 @@ class Search:
     fewest: int = 9  # coordinates of a walk, unless the item is too short
     longest: int = 24
     block_chars: int = 1_000_000
-    stretch: int = 6_000_000  # bytes of documents searched at once
+    stretch: int = 6_000_000  # bytes of one document searched at once
+    together: int = 4_000_000  # bytes of several documents searched at once: arrays take about 20 times as much
     seed: int = 17
 
     def coordinates(self, words: int, size: int) -> int:
@@ -149,8 +150,8 @@ def stretches(texts: list[bytes], p: Search, overlap: int) -> Iterator[tuple[int
                 begin = end
             at += 1
             continue
-        size, upto = 0, at
-        while upto < len(texts) and size + len(texts[upto]) <= p.stretch:
+        size, upto = len(texts[at]), at + 1
+        while upto < len(texts) and size + len(texts[upto]) <= p.together:
             size += len(texts[upto])
             upto += 1
         yield at, flat(texts[at:upto], pad)
@@ -161,8 +162,12 @@ def grams(letters: np.ndarray, n: int) -> np.ndarray:
     """12-bit hash of the ``n`` letters from each position; the last ``n - 1`` positions are left out."""
     h = np.zeros(max(0, len(letters) - n + 1), np.uint32)
     for j in range(n):
-        h |= letters[j : j + len(h)].astype(np.uint32) << np.uint32(8 * j)
-    return ((h * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int32)
+        shifted = letters[j : j + len(h)].astype(np.uint32)
+        shifted <<= np.uint32(8 * j)
+        h |= shifted
+    h *= np.uint32(2654435761)
+    h >>= np.uint32(20)
+    return h.view(np.int32)
 
 
 class Members:
@@ -365,6 +370,7 @@ def least_distances(patterns: list[bytes], of: np.ndarray, letters: np.ndarray,
 
 
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int64()), ("item_chars", pa.int64())])
+ROWS = 1000  # decoded at once
 BLANKS = b" \t\n\v\f\r"
 AFTER = re.compile(rb"[^\x20\x09-\x0d]*")
 
@@ -427,10 +433,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, p: Search = Search()) -> DataFra
     """Every passage of a document within the edit distance of an item."""
 
     def one(find) -> DataFrame:
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, len(whole), 3000):
-                    b = whole.slice(at, 3000)
+                for at in range(0, len(whole), ROWS):
+                    b = whole.slice(at, ROWS)
                     rows = [(d, *h) for d, found in zip(b.column("doc_id").to_pylist(), find(b.column("text").to_pylist())) for h in found]
                     cols = list(zip(*rows)) or [[] for _ in HITS]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, HITS)], schema=HITS)
@@ -452,10 +459,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, p: Search = Search()) -> DataFr
     """The rows of ``docs`` without a passage of the benchmark; each row is judged by its own text."""
 
     def one(rows: DataFrame, find) -> DataFrame:
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, len(whole), 3000):
-                    b = whole.slice(at, 3000)
+                for at in range(0, len(whole), ROWS):
+                    b = whole.slice(at, ROWS)
                     yield b.filter(pa.array([not found for found in find(b.column(b.schema.names.index("text")).to_pylist())], pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)

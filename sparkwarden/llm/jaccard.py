@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import connected_components, materialise, table
+from .common import connected_components, materialise, table, tidy
 
 
 @dataclass(frozen=True)
@@ -112,6 +112,7 @@ PREFIX = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("key", pa.int64()),
 def document_sets(docs: DataFrame, p: Join) -> DataFrame:
     """``doc_id, n, c, c2``: set size and 128-bit key of the set, per row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
@@ -128,6 +129,7 @@ def document_sets(docs: DataFrame, p: Join) -> DataFrame:
 def shingle_blocks(docs: DataFrame, p: Join, parts: int, slices: int) -> DataFrame:
     """Remainders of all shingles, by hash partition, slice of the classes and batch; a class once a batch."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
@@ -250,6 +252,7 @@ def shared_shingles(docs: DataFrame, p: Join, total: int, classes: int) -> DataF
 def prefixes(classes: DataFrame, shared: DataFrame, p: Join) -> DataFrame:
     """``rep, n, key, at, tokens``: shared shingles in a class's prefix, the first of them at position ``at``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -270,6 +273,7 @@ def id_filter(ids: DataFrame, bits: int) -> bytes:
     """Bits of the ids' hashes: ``2**bits / 8`` bytes however many ids there are."""
     col = ids.columns[0]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(2**bits, bool)
         for b in batches:
@@ -291,6 +295,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, p: Join) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("rep"), p.filter_bits))
     schema = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = WordHash(), np.unpackbits(np.frombuffer(send.value, np.uint8))
         for b in batches:

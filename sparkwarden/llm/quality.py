@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, table, tidy
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -139,6 +139,7 @@ def count_references(docs: DataFrame, most: int = 200_000) -> DataFrame:
             out += [(lang, f" {x}", float(n)) for x, n in zip(CLASSES, classes[lang])]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), REFERENCE.types)], schema=REFERENCE)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter[bytes]] = {}
         classes: dict[str, np.ndarray] = {}
@@ -225,6 +226,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     p = Divergence()
     ref = references(docs, p)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, lang = (b.column(b.schema.names.index(c)).to_pylist() for c in ("text", "lang"))

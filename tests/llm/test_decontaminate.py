@@ -166,3 +166,12 @@ def test_distances_of_many_windows():
     joined = np.frombuffer(b"".join(texts), np.uint8)
     got = D.least_distances(patterns, of, joined, ends - [len(t) for t in texts], ends, chunk=30)
     assert got.tolist() == [D.best_match(patterns[o], t)[0] for o, t in zip(of.tolist(), texts)]
+
+
+def test_texts_are_searched_in_small_groups_and_one_text_whole():
+    """Arrays take a multiple of a group's bytes in each Python process, so groups are small; a word is not cut by that."""
+    p = D.Search()
+    texts = [b"ab " * 1_000_000, b"c" * 5_000_000, b"d", b"ef " * 900_000, b"gh " * 900_000]
+    got = [(at, len(f.starts) - 1, len(f.raw)) for at, f in D.stretches(texts, p, 100)]
+    assert [g[:2] for g in got] == [(0, 1), (1, 1), (2, 2), (4, 1)]
+    assert max(n for _, k, n in got if k > 1) <= p.together + 10
